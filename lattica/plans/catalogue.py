@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from lattica.plans import advanced, aggregates
+from lattica.plans.registry import QUERIES, SQL
+
+MODULES = (advanced, aggregates)
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
