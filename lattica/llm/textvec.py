@@ -64,20 +64,32 @@ def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         i = j
 
 
-def words(data: np.ndarray, at: np.ndarray, ends: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 64-bit hash) of every word, A-Z in lower case, in order; ends: which bytes stand between words."""
+def spans(data: np.ndarray, at: np.ndarray, ends: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, end) of every word in order; ends: which bytes stand between words."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    low = LOWER[data]
-    blank = ends[low]
+        return (np.zeros(0, np.int64),) * 3
+    blank = ends[data]
     before = np.concatenate(([True], blank[:-1]))
     before[at[:-1][at[:-1] < len(data)]] = True
     after = np.concatenate((blank[1:], [True]))
     after[(at[1:] - 1)[at[1:] > 0]] = True
     start, end = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
+    return np.searchsorted(at, start, "right") - 1, start, end
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pieces of data, A-Z in lower case."""
+    if not len(start):
+        return np.zeros(0, U)
     up, down = powers(len(data))
-    total = np.concatenate((np.zeros(1, U), np.cumsum(_byte_values()[low] * up[: len(low)], dtype=U)))
-    return np.searchsorted(at, start, "right") - 1, mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+    total = np.concatenate((np.zeros(1, U), np.cumsum(_byte_values()[LOWER[data]] * up[: len(data)], dtype=U)))
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U))
+
+
+def words(data: np.ndarray, at: np.ndarray, ends: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 64-bit hash) of every word, A-Z in lower case, in order; ends: which bytes stand between words."""
+    row, start, end = spans(data, at, ends)
+    return row, hashes(data, start, end)
 
 
 def shingles(row: np.ndarray, word: np.ndarray, k: int, rows: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,8 +3,9 @@
 A linear classifier in numpy is trained from texts confirmed as toxic and from unlabelled texts. With class prior c,
 sigmoid-shaped losses and R+p, R-p, R-u the mean losses of positives as positive, positives as negative and unlabelled
 as negative, the risk is c R+p + max(0, R-u - c R-p): the second part, the risk of the negatives, can't fall below
-zero; where a step would make it so, the step goes the other way. Features say which words a text has; words are kept
-as features if they part positives from unlabelled texts beyond chance.
+zero; where a step would make it so, the step goes the other way. Features say which words a text has, and which
+beginnings of words, so that a stem is known by endings not seen yet; those are kept as features that part positives
+from unlabelled texts beyond chance.
 """
 
 from __future__ import annotations
@@ -21,22 +22,33 @@ from lattica.llm.tables import sized, written
 
 #: Texts that a model is trained on at most: confirmed ones, and unlabelled ones.
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 9000
-#: Standard deviations by which a word must be commoner in positives to become a feature.
-DEVIATIONS = 4.0
-LEAST_TEXTS = 3
+#: How much commoner in positives than by chance a word must be to become a feature: twice its log likelihood ratio.
+SURPRISE = 20.0
+#: Lengths in bytes of the beginnings of longer words that are features as well.
+BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
 
 
 def word_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of a column: first row, rows, and the sorted distinct (row, word) of each slice."""
+    """Slices of a column: first row, rows, and the sorted distinct (row, hash) of words and their beginnings."""
     data, at = tv.buffers(column)
     for i, j in tv.slices(at):
-        row, word = tv.words(data[at[i] : at[j]], at[i : j + 1] - at[i], tv.NO_LETTER)
-        order = np.lexsort((word, row))
-        row, word = row[order], word[order]
+        part = data[at[i] : at[j]]
+        row, start, end = tv.spans(part, at[i : j + 1] - at[i], tv.NO_LETTER)
+        rows, starts, ends, kinds = [row], [start], [end], [np.zeros(len(row), np.uint64)]
+        for n in BEGINNINGS:
+            use = end - start > n
+            rows.append(row[use])
+            starts.append(start[use])
+            ends.append(start[use] + n)
+            kinds.append(np.full(use.sum(), n, np.uint64))
+        row = np.concatenate(rows)
+        found = tv.mix(tv.hashes(part, np.concatenate(starts), np.concatenate(ends)) + np.concatenate(kinds))
+        order = np.lexsort((found, row))
+        row, found = row[order], found[order]
         new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (word[1:] != word[:-1])
-        yield i, j - i, row[new], word[new]
+        new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+        yield i, j - i, row[new], found[new]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,7 +78,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(positive: pa.Array, unlabelled: pa.Array, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
+def train(positive: pa.Array, unlabelled: pa.Array, prior: float, steps: int = 800, rate: float = 0.05, decay: float = 2e-5) -> Model:
     """The classifier of least non-negative positive-unlabelled risk, by Adam over all texts at each step.
 
     Without positives or unlabelled texts every score is the prior's.
@@ -81,9 +93,11 @@ def train(positive: pa.Array, unlabelled: pa.Array, prior: float, steps: int = 4
     vocabulary, code = np.unique(np.concatenate(words), return_inverse=True)
     count_p = np.bincount(code[: len(words[0])], minlength=len(vocabulary))
     count_u = np.bincount(code[len(words[0]) :], minlength=len(vocabulary))
-    both = (count_p + count_u + 1) / (n[0] + n[1] + 2)
-    deviation = (count_p / n[0] - count_u / n[1]) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]))
-    chosen = np.flatnonzero((deviation > DEVIATIONS) & (count_p >= LEAST_TEXTS) & (count_p / n[0] > 2 * count_u / n[1]))
+    expected = (count_p + count_u) * (n[0] / (n[0] + n[1]))
+    surprise = 2 * (count_p * np.log(np.maximum(count_p, 1) / expected) - count_p + expected)
+    # a word of toxic texts only is prior times as common among unlabelled texts as among positives
+    pure = count_p / n[0] * prior * n[1]
+    chosen = np.flatnonzero((surprise > SURPRISE) & (count_p > expected) & (count_u < 1.3 * pure + 2 * np.sqrt(pure)))
     if not len(chosen):
         return flat
     place = np.full(len(vocabulary), -1)
@@ -115,7 +129,7 @@ def train(positive: pa.Array, unlabelled: pa.Array, prior: float, steps: int = 4
         g[:k] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, bias = w - move[:k], bias - move[k]
+        w, bias = np.maximum(w - move[:k], 0), bias - move[k]
     return Model(vocabulary[chosen], w, bias)
 
 
