@@ -47,6 +47,11 @@ def distinct_if(condition: Column, value: Column) -> Column:
     return F.count_distinct(F.when(condition, value))
 
 
+def day(name: str) -> Column:
+    """The day of a time as text."""
+    return F.date_format(name, "yyyy-MM-dd").alias("day")
+
+
 def desc(name: str) -> Column:
     """Descending with nulls first, as graph query languages sort."""
     return F.col(name).desc_nulls_first()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lattica.plans import advanced, aggregates
+from lattica.plans import advanced, aggregates, domains, rules, search
 from lattica.plans.registry import QUERIES, SQL
 
-MODULES = (advanced, aggregates)
+MODULES = (advanced, aggregates, domains, rules, search)
 
 
 def queries() -> dict:
