@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lattica.plans import advanced, aggregates, domains, rules, search
+from lattica.plans import advanced, aggregates, domains, graph_queries, rules, search
 from lattica.plans.registry import QUERIES, SQL
 
-MODULES = (advanced, aggregates, domains, rules, search)
+MODULES = (advanced, aggregates, domains, rules, search, graph_queries)
 
 
 def queries() -> dict:
