@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lattica.llm.bpe import shared
+from lattica.llm.bpe import ranks_of
 
 WIDTH = 2048
 #: Tokens that a partition packs at once.
@@ -73,6 +74,15 @@ def best_fit(lengths: np.ndarray, width: int) -> list[list[int]]:
     return rows
 
 
+@lru_cache(4)
+def _encoding(rank_file: bytes, pattern: str):
+    """The library's encoder, one for each vocabulary in a Python worker, and the first id left free."""
+    import tiktoken
+
+    ranks = ranks_of(rank_file)
+    return tiktoken.Encoding("packed", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
+
+
 SCHEMA = "pack_id long, doc_ids array<long>, parts array<int>, n_tokens int, ids binary, cu_seqlens array<int>, positions binary"
 
 
@@ -93,8 +103,8 @@ def packed_ids(docs: DataFrame, rank_path: str, pattern: str, width: int = WIDTH
     schema = pa.schema([("pack_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("positions", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = shared(held.value, pattern)
-        fill = pad if pad is not None else max(bpe.bytes_of) + 1
+        encoding, free = _encoding(held.value, pattern)
+        fill = free if pad is None else pad
         next_id = TaskContext.get().partitionId() << 33
         group: list[tuple[int | None, int, bytes]] = []
         tokens = 0
@@ -119,7 +129,7 @@ def packed_ids(docs: DataFrame, rank_path: str, pattern: str, width: int = WIDTH
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
                 for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                    ids = bpe.encode(text) if text else b""
+                    ids = np.array(encoding.encode_ordinary(text), "<u4").tobytes() if text else b""
                     for k in range(0, len(ids), 4 * width):
                         group.append((doc_id, k // (4 * width), ids[k : k + 4 * width]))
                     tokens += len(ids) // 4
