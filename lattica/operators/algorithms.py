@@ -79,3 +79,15 @@ def neighbour_similarity(edges: DataFrame, left: str, right: str) -> DataFrame:
     s = per.agg(F.count_if(F.col("l") & F.col("r")).alias("common"), F.count_if("l").alias("a"), F.count_if("r").alias("b"))
     either = F.col("a") + F.col("b") - F.col("common")
     return s.select("common", F.round(F.coalesce(F.try_divide("common", either), F.lit(0.0)), 6).alias("jaccard"), F.round(F.coalesce(F.try_divide("common", F.sqrt(F.col("a") * F.col("b"))), F.lit(0.0)), 6).alias("cosine"))
+
+
+def two_step_betweenness(edges: DataFrame) -> DataFrame:
+    """id, score: each pair of nodes two steps apart gives 1 to what lies between, in equal shares.
+
+    Paths of two steps go over a node's in- and out-links, so rows are bounded by the sum of their products.
+    """
+    e = edges.select("src", "dst").distinct()
+    p = e.select(F.col("src").alias("s"), F.col("dst").alias("m")).join(e.select(F.col("src").alias("m"), F.col("dst").alias("t")), "m").filter("s <> t")
+    p = p.join(e.select(F.col("src").alias("s"), F.col("dst").alias("t")), ["s", "t"], "left_anti")
+    ways = p.groupBy("s", "t").agg(F.count("*").alias("ways"))
+    return p.join(ways, ["s", "t"]).groupBy(F.col("m").alias("id")).agg(F.sum(1.0 / F.col("ways")).alias("score"))

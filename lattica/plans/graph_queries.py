@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.cypher import asc, desc
-from lattica.operators import algorithms, paths
+from lattica.operators import algorithms, layout, paths
 from lattica.plans.binding import Graph
 from lattica.plans.registry import query
 
@@ -141,3 +141,25 @@ def vis_3(g: Graph) -> DataFrame:
     s = g.submission.select(F.col("id").alias("submission"), "key")
     a = g.approval.select(F.col("id").alias("approval"), "submission")
     return t.join(s, "key").join(a, "submission").select("compound", "trial", "submission", "approval")
+
+
+@query("vis_2_grid", "SELECT id, (r % 5 * 50)::DOUBLE AS x, (r // 5 * 50)::DOUBLE AS y FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r FROM target)")
+def vis_2_grid(g: Graph) -> DataFrame:
+    """Targets in a grid."""
+    return layout.grid(g.target)
+
+
+@query("vis_2_circle", "SELECT id, round(100 * cos(2 * pi() * r / n), 4) + 0.0 AS x, round(100 * sin(2 * pi() * r / n), 4) + 0.0 AS y FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r, count(*) OVER () AS n FROM target)")
+def vis_2_circle(g: Graph) -> DataFrame:
+    """Targets around a circle."""
+    return layout.circle(g.target).select("id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
+
+
+@query(
+    "ga_3_betweenness",
+    """WITH e AS (SELECT DISTINCT src, dst FROM link), p AS (SELECT a.src AS s, a.dst AS m, b.dst AS t FROM e a JOIN e b ON b.src = a.dst WHERE a.src <> b.dst), n AS (SELECT s, t, count(*) AS ways FROM p GROUP BY ALL)
+    SELECT m AS id, round(sum(1.0 / ways), 4)::DOUBLE AS score FROM p JOIN n ON n.s = p.s AND n.t = p.t WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = p.s AND e.dst = p.t) GROUP BY m""",
+)
+def ga_3(g: Graph) -> DataFrame:
+    """How many shortest paths of two steps lead over each node, those between one pair shared out."""
+    return algorithms.two_step_betweenness(g.link).select("id", F.round("score", 4).alias("score"))
