@@ -217,10 +217,10 @@ def rg_13(g: Graph) -> DataFrame:
     return g.signal.filter("status = 'under_review'").orderBy(desc("detected"), asc("id")).limit(100).select("id", "compound", "status", day("detected"))
 
 
-@query("api_6_research_statistics", "SELECT count(*) AS compounds, count(CASE WHEN approved THEN 1 END) AS approved, count(CASE WHEN stage_order BETWEEN 1 AND 3 THEN 1 END) AS clinical, round(avg(weight), 1) AS mean_weight, min(weight) AS lightest, max(weight) AS heaviest FROM compound")
+@query("api_6_research_statistics", "SELECT count(*) AS compounds, count(CASE WHEN approved THEN 1 END) AS approved, count(CASE WHEN stage_order BETWEEN 1 AND 3 THEN 1 END) AS clinical, round(avg(weight), 2) AS mean_weight, min(weight) AS lightest, max(weight) AS heaviest FROM compound")
 def api_6(g: Graph) -> DataFrame:
     w = F.col("weight")
-    return g.compound.agg(F.count("*").alias("compounds"), F.count_if("approved").alias("approved"), F.count_if(F.col("stage_order").between(1, 3)).alias("clinical"), F.round(F.avg(w), 1).alias("mean_weight"), F.min(w).alias("lightest"), F.max(w).alias("heaviest"))
+    return g.compound.agg(F.count("*").alias("compounds"), F.count_if("approved").alias("approved"), F.count_if(F.col("stage_order").between(1, 3)).alias("clinical"), F.round(F.avg(w), 2).alias("mean_weight"), F.min(w).alias("lightest"), F.max(w).alias("heaviest"))
 
 
 @query("api_7_drug_trials", "SELECT t.id, t.phase, t.status, strftime(t.start_date, '%Y-%m-%d') AS day FROM trial_compound c JOIN trial t ON t.id = c.trial WHERE c.compound = 'P:30' ORDER BY start_date DESC, id LIMIT 50")
