@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lattica.plans import advanced, aggregates, corpus, domains, etl, graph_queries, rules, search, vectors
+from lattica.plans import advanced, aggregates, corpus, domains, etl, graph_queries, predictions, rules, search, vectors
 from lattica.plans.registry import QUERIES, SQL
 
-MODULES = (advanced, aggregates, domains, rules, search, graph_queries, etl, vectors, corpus)
+MODULES = (advanced, aggregates, domains, rules, search, graph_queries, etl, vectors, corpus, predictions)
 
 
 def queries() -> dict:
