@@ -10,7 +10,7 @@ from unlabelled texts beyond chance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from lattica.llm.tables import sized, written
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 9000
 #: How much commoner in positives than by chance a word must be to become a feature: twice its log likelihood ratio.
 SURPRISE = 20.0
+#: Positives that a word must be in to be looked at.
+LEAST_TEXTS = 3
 #: Lengths in bytes of the beginnings of longer words that are features as well.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
@@ -87,12 +89,25 @@ def train(positive: pa.Array, unlabelled: pa.Array, prior: float, steps: int = 8
     flat = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
     if not len(positive) or not len(unlabelled):
         return flat
-    sets = [[(first + row, word) for first, _, row, word in word_sets(c)] for c in (positive, unlabelled)]
-    rows, words = zip(*[[np.concatenate(x) for x in zip(*s)] for s in sets])
     n = len(positive), len(unlabelled)
-    vocabulary, code = np.unique(np.concatenate(words), return_inverse=True)
-    count_p = np.bincount(code[: len(words[0])], minlength=len(vocabulary))
-    count_u = np.bincount(code[len(words[0]) :], minlength=len(vocabulary))
+    own = [(first + row, word) for first, _, row, word in word_sets(positive)]
+    vocabulary, count = np.unique(np.concatenate([w for _, w in own]), return_counts=True)
+    vocabulary = vocabulary[count >= LEAST_TEXTS]
+    if not len(vocabulary):
+        return flat
+
+    def known(sets: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place in the vocabulary), slice by slice, so that words never seen in positives take no memory."""
+        out = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
+        for row, word in sets:
+            at = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
+            hit = vocabulary[at] == word
+            out.append((row[hit].astype(np.int32), at[hit].astype(np.int32)))
+        return tuple(map(np.concatenate, zip(*out)))
+
+    found = [known(own), known((first + row, word) for first, _, row, word in word_sets(unlabelled))]
+    del own
+    count_p, count_u = (np.bincount(f, minlength=len(vocabulary)) for _, f in found)
     expected = (count_p + count_u) * (n[0] / (n[0] + n[1]))
     surprise = 2 * (count_p * np.log(np.maximum(count_p, 1) / expected) - count_p + expected)
     # a word of toxic texts only is prior times as common among unlabelled texts as among positives
@@ -102,10 +117,7 @@ def train(positive: pa.Array, unlabelled: pa.Array, prior: float, steps: int = 8
         return flat
     place = np.full(len(vocabulary), -1)
     place[chosen] = np.arange(len(chosen))
-    feature = place[code]
-    parts = []
-    for r, f in ((rows[0], feature[: len(words[0])]), (rows[1], feature[len(words[0]) :])):
-        parts.append((r[f >= 0], f[f >= 0]))
+    parts = [(r[place[f] >= 0], place[f[place[f] >= 0]]) for r, f in found]
     k = len(chosen)
     w, bias = np.zeros(k), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
