@@ -4,11 +4,15 @@ Log posterior = tempered text likelihood + declared language + address suffix +
 probabilities. The text model holds hashed byte trigrams of each language, counted on a bounded sample; declared
 languages and suffixes are as reliable as the whole table shows; a host's prior is smoothed towards its domain's,
 and that towards the table's, from sums made by grouped aggregation over all rows.
+
+Besides the languages there is one more class, any other language: its mean log likelihood per trigram is a floor
+below that of the sample's texts of the language which fits best, as measured by models that haven't seen them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,6 +30,12 @@ BITS = 15
 SAMPLE_ROWS = 20_000
 #: Trigrams of one text are far from independent: their mean log likelihood counts as that of this many at most.
 TRIGRAMS = 40
+#: Share of a model's probability that is dealt evenly to all trigrams, so unseen ones weigh the same in all languages.
+UNSEEN = 0.05
+#: The floor of a language lies this share of the way from its own texts down to trigrams drawn evenly.
+FLOOR = 0.3
+#: The class of texts in none of the languages, and of texts without letters.
+OTHER = "und"
 #: How many rows of a host, or hosts' rows of a domain, weigh as much as the prior of the level above.
 SMOOTH = 20.0
 
@@ -42,31 +52,78 @@ def _trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row[:-2][use], (code >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each declared language of a partition, the counts of trigrams as one array of 2**BITS numbers."""
-    counts = np.zeros((len(LANGUAGES), 1 << BITS))
+class TextModel(NamedTuple):
+    log: np.ndarray  # log probabilities: languages x trigrams
+    floor: np.ndarray  # of each language, the mean log likelihood per trigram below which a text is in another
+
+
+def _declared(b: pa.RecordBatch, languages: Sequence[str]) -> np.ndarray:
+    """The index of each row's declared language, -1 for others."""
+    index = {x: i for i, x in enumerate(languages)}
+    return np.array([index.get(x, -1) for x in b["lang"].to_pylist()], np.int64)
+
+
+def count_trigrams(batches: Iterator[pa.RecordBatch], languages: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """For each fold (0, 1) and declared language of a partition, the counts of trigrams as one array of 2**BITS numbers."""
+    of_all = 2 * len(languages)
+    counts = np.zeros((of_all, 1 << BITS))
     for b in batches:
         data, at = tv.buffers(b["text"])
-        lang = np.array([LANGUAGES.index(x) if x in LANGUAGES else -1 for x in b["lang"].to_pylist()], np.int64)
+        lang = _declared(b, languages)
+        lang = np.where(lang >= 0, lang + len(languages) * np.asarray(b["fold"]), -1)
         for i, j in tv.slices(at):
             row, code = _trigrams(data[at[i] : at[j]], at[i : j + 1] - at[i])
             of = lang[i:j][row]
             weight = 1.0 / np.sqrt(np.maximum(np.bincount(row, minlength=j - i), 1))  # so that long texts don't decide alone
-            counts += np.bincount(of[of >= 0] * (1 << BITS) + code[of >= 0], weight[row][of >= 0], len(LANGUAGES) << BITS).reshape(counts.shape)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(LANGUAGES)), pa.int32()), pa.array([x.astype("<f8").tobytes() for x in counts], pa.binary())], ["lang", "counts"])
+            counts += np.bincount(of[of >= 0] * (1 << BITS) + code[of >= 0], weight[row][of >= 0], of_all << BITS).reshape(counts.shape)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(of_all), pa.int32()), pa.array([x.astype("<f8").tobytes() for x in counts], pa.binary())], ["lang", "counts"])
+
+
+def smoothed(counts: np.ndarray) -> np.ndarray:
+    """Log probabilities from counts (languages x trigrams); a language without any has unseen ones only."""
+    p = counts / np.maximum(counts.sum(1, keepdims=True), 1e-300)
+    return np.log((1 - UNSEEN) * p + UNSEEN / (1 << BITS)).astype(np.float32)
 
 
-def text_model(rows: DataFrame, total: int, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Log probabilities (languages x trigrams) from up to about sample_rows rows (text, lang, key), picked by key's hash."""
+def text_model(rows: DataFrame, total: int, languages: Sequence[str] = LANGUAGES, sample_rows: int = SAMPLE_ROWS) -> TextModel:
+    """The model from up to about sample_rows rows (text, lang, key), picked by key's hash.
+
+    For the floors, the sample is halved by the texts' hash and each half scored by the other half's counts.
+    """
     share = min(1.0, sample_rows / max(total, 1))
-    picked = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003))).select("text", "lang")
-    found = picked.mapInArrow(count_trigrams, "lang int, counts binary")
-    # summed by language in pandas: len(LANGUAGES) groups of one array a partition, each of a fixed size
+    picked = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < F.lit(int(share * 1_000_003)))
+    picked = picked.select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"))
+    found = picked.mapInArrow(lambda b: count_trigrams(b, languages), "lang int, counts binary")
+    # summed by language in pandas: two groups a language of one array a partition, each of a fixed size
     summed = found.groupBy("lang").applyInPandas(_sum_counts, "lang int, counts binary").toPandas()
-    counts = np.full((len(LANGUAGES), 1 << BITS), 0.05)
+    counts = np.zeros((2, len(languages), 1 << BITS))
     for lang, blob in zip(summed["lang"], summed["counts"]):
-        counts[lang] += np.frombuffer(blob, "<f8")
-    return np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+        counts[divmod(lang, len(languages))] += np.frombuffer(blob, "<f8")
+    held = rows.sparkSession.sparkContext.broadcast([smoothed(counts[1]), smoothed(counts[0])])
+    fits = picked.mapInArrow(lambda b: own_fit(b, held.value, languages), "lang int, weight double, fit double")
+    fits = fits.groupBy("lang").agg(F.sum("weight").alias("weight"), F.sum("fit").alias("fit")).collect()
+    least, even = np.log(UNSEEN / (1 << BITS)), -np.log(1 << BITS)
+    floor = np.full(len(languages), least)
+    for r in fits:
+        if r["weight"] > 0 and r["fit"] / r["weight"] > even:  # else the sample is too small to tell its own texts from others
+            floor[r["lang"]] = (1 - FLOOR) * r["fit"] / r["weight"] + FLOOR * even
+    return TextModel(smoothed(counts.sum(0)), floor)
+
+
+def own_fit(batches: Iterator[pa.RecordBatch], models: Sequence[np.ndarray], languages: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """For each language of a partition, over the texts that are in it by declaration and by their fold's model: weight, weighted log likelihood per trigram."""
+    weight, fit = np.zeros(len(languages)), np.zeros(len(languages))
+    for b in batches:
+        lang, fold = _declared(b, languages), np.asarray(b["fold"])
+        for f, model in enumerate(models):
+            use = np.flatnonzero((fold == f) & (lang >= 0))
+            log, n = _likelihoods(b["text"].take(pa.array(use)), model)
+            best = log.argmax(1) if len(use) else use
+            same = (best == lang[use]) & (n > 0)
+            much = np.minimum(n[same], TRIGRAMS)
+            weight += np.bincount(best[same], much, len(languages))
+            fit += np.bincount(best[same], much * log[same, best[same]], len(languages))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(languages)), pa.int32()), pa.array(weight), pa.array(fit)], ["lang", "weight", "fit"])
 
 
 def _sum_counts(g: pd.DataFrame) -> pd.DataFrame:
@@ -76,19 +133,26 @@ def _sum_counts(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"lang": g["lang"].iloc[:1], "counts": [total.tobytes()]})
 
 
-def text_scores(column: pa.Array, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(tempered log likelihoods: rows x languages, number of trigrams). A text without letters scores 0 for all."""
+def _likelihoods(column: pa.Array, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mean log likelihoods per trigram: rows x languages, number of trigrams)."""
     data, at = tv.buffers(column)
-    out, count = np.zeros((len(column), len(model))), np.zeros(len(column), np.int64)
+    out, count = np.zeros((len(column), len(log))), np.zeros(len(column), np.int64)
     for i, j in tv.slices(at):
         row, code = _trigrams(data[at[i] : at[j]], at[i : j + 1] - at[i])
         n = np.bincount(row, minlength=j - i)
         count[i:j] = n
-        for k in range(len(model)):
-            out[i:j, k] = np.bincount(row, model[k][code], j - i) / np.maximum(n, 1) * np.minimum(n, TRIGRAMS)
+        for k in range(len(log)):
+            out[i:j, k] = np.bincount(row, log[k][code], j - i) / np.maximum(n, 1)
     return out, count
 
 
+def text_scores(column: pa.Array, model: TextModel) -> tuple[np.ndarray, np.ndarray]:
+    """(tempered log likelihoods: rows x languages and any other, number of trigrams). A text without letters scores 0 for all."""
+    mean, count = _likelihoods(column, model.log)
+    other = model.floor[mean.argmax(1)] if len(mean) else np.zeros(0)
+    return np.column_stack((mean, other)) * np.minimum(count, TRIGRAMS)[:, None], count
+
+
 def posterior(log: np.ndarray) -> np.ndarray:
     p = np.exp(log - log.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
@@ -111,75 +175,78 @@ def evidence(rows: DataFrame, key: str, text: Column, declared: Column, host: Co
     return rows.select(F.col(key).alias("key"), text.alias("text"), lang.alias("lang"), host.alias("host"), domain_of(host).alias("domain"), suffix_of(host).alias("suffix"))
 
 
-P = [f"p{i}" for i in range(len(LANGUAGES))]
-
-
-def _scored(rows: DataFrame, model: np.ndarray) -> DataFrame:
+def _scored(rows: DataFrame, model: TextModel) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(model)  # languages x 2**BITS floats
+    names = [f"p{i}" for i in range(len(model.log) + 1)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             log, n = text_scores(b["text"], held.value)
-            yield pa.RecordBatch.from_arrays([b["key"], b["lang"], b["host"], b["domain"], b["suffix"], pa.array(n), *(pa.array(log[:, k]) for k in range(len(LANGUAGES)))], ["key", "lang", "host", "domain", "suffix", "trigrams", *P])
+            yield pa.RecordBatch.from_arrays([b["key"], b["lang"], b["host"], b["domain"], b["suffix"], pa.array(n), *(pa.array(log[:, k]) for k in range(len(names)))], ["key", "lang", "host", "domain", "suffix", "trigrams", *names])
 
     kind = dict(rows.dtypes)["key"]
-    return rows.mapInArrow(work, f"key {kind}, lang string, host string, domain string, suffix string, trigrams long, " + ", ".join(f"{p} double" for p in P))
+    return rows.mapInArrow(work, f"key {kind}, lang string, host string, domain string, suffix string, trigrams long, " + ", ".join(f"{p} double" for p in names))
 
 
-def identified(rows: DataFrame, key: str, text: Column, declared: Column, host: Column, least: float = 0.5) -> DataFrame:
+def identified(rows: DataFrame, key: str, text: Column, declared: Column, host: Column, least: float = 0.5, languages: Sequence[str] = LANGUAGES) -> DataFrame:
     """One row per row: key (under its own name), language, probability, text_language, declared, accepted.
 
-    language: the likeliest of LANGUAGES by all evidence; 'und' for a text without three letters' worth of evidence.
+    language: the likeliest by all evidence of languages (codes of two letters, as declared) and any other language,
+    which is 'und', as is a text without three letters' worth of evidence; text_language: the likeliest by text alone.
+    A language that the sample holds no or very few texts of can't be told from others.
     accepted: language isn't 'und' and its probability is at least least. Null declared language or host count as
-    none given; null or empty text is 'und'. Of equal probabilities the first in LANGUAGES is taken. Rows that repeat
+    none given; null or empty text is 'und'. Of equal probabilities the first of languages is taken. Rows that repeat
     stay; no rows give none; other columns aren't looked at.
     """
     given = evidence(rows, key, text, declared, host)
     total = rows.count()
-    model = text_model(given, total)
+    model = text_model(given, total, languages)
+    names = [*languages, OTHER]
+    P = [f"p{i}" for i in range(len(names))]
     scored = written(_scored(given, model), "language-scores")
     shift = F.greatest(*P)
     weights = [F.exp(F.col(p) - shift) for p in P]
     whole = sum(weights[1:], weights[0])
     soft = scored.withColumns({f"s{i}": F.when(F.col("trigrams") > 0, w / whole).otherwise(0.0) for i, w in enumerate(weights)})
-    sums = [F.sum(f"s{i}").alias(f"n{i}") for i in range(len(LANGUAGES))]
+    sums = [F.sum(f"s{i}").alias(f"n{i}") for i in range(len(P))]
     # hosts are many: they stay a table. Suffixes and declared languages that matter are few: see _log_table.
     hosts = soft.groupBy("host", "domain").agg(*sums)
-    domains = hosts.groupBy("domain").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(len(LANGUAGES))])
-    everything = domains.agg(*[F.coalesce(F.sum(f"d{i}"), F.lit(0.0)).alias(f"g{i}") for i in range(len(LANGUAGES))]).first()
-    overall = (np.array(everything, float) + 1) / (sum(everything) + len(LANGUAGES))
-    d_all = sum((F.col(f"d{i}") for i in range(1, len(LANGUAGES))), F.col("d0"))
-    n_all = sum((F.col(f"n{i}") for i in range(1, len(LANGUAGES))), F.col("n0"))
-    domain_prior = [(F.col(f"d{i}") + SMOOTH * F.lit(float(overall[i]))) / (d_all + SMOOTH) for i in range(len(LANGUAGES))]
+    domains = hosts.groupBy("domain").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(len(P))])
+    everything = domains.agg(*[F.coalesce(F.sum(f"d{i}"), F.lit(0.0)).alias(f"g{i}") for i in range(len(P))]).first()
+    overall = (np.array(everything, float) + 1) / (sum(everything) + len(P))
+    d_all = sum((F.col(f"d{i}") for i in range(1, len(P))), F.col("d0"))
+    n_all = sum((F.col(f"n{i}") for i in range(1, len(P))), F.col("n0"))
+    domain_prior = [(F.col(f"d{i}") + SMOOTH * F.lit(float(overall[i]))) / (d_all + SMOOTH) for i in range(len(P))]
     hosts = hosts.join(domains, "domain")
-    prior = hosts.select("host", *[F.log((F.col(f"n{i}") + SMOOTH * domain_prior[i]) / (n_all + SMOOTH)).alias(f"h{i}") for i in range(len(LANGUAGES))])
+    prior = hosts.select("host", *[F.log((F.col(f"n{i}") + SMOOTH * domain_prior[i]) / (n_all + SMOOTH)).alias(f"h{i}") for i in range(len(P))])
     prior = written(prior, "host-priors")
     log = [F.col(p) + F.col(f"h{i}") for i, p in enumerate(P)]
     for name in ("lang", "suffix"):
-        log = [a + b for a, b in zip(log, _log_table(soft, name))]
+        log = [a + b for a, b in zip(log, _log_table(soft, name, len(P)))]
     joined = scored.join(sized(prior, prior.count()), "host")
     top = F.greatest(*log)
     mass = [F.exp(x - top) for x in log]
     p = F.lit(1.0) / sum(mass[1:], mass[0])
 
     def likeliest(values: list[Column]) -> Column:
-        best, out = F.greatest(*values), F.lit(LANGUAGES[-1])
-        for name, v in reversed(list(zip(LANGUAGES[:-1], values[:-1]))):
+        best, out = F.greatest(*values), F.lit(names[-1])
+        for name, v in reversed(list(zip(names[:-1], values[:-1]))):
             out = F.when(v == best, name).otherwise(out)
-        return F.when(F.col("trigrams") > 0, out).otherwise("und")
+        return F.when(F.col("trigrams") > 0, out).otherwise(OTHER)
 
     out = joined.select(F.col("key").alias(key), likeliest(log).alias("language"), p.alias("probability"), likeliest([F.col(c) for c in P]).alias("text_language"), F.col("lang").alias("declared"))
-    return out.withColumn("accepted", (F.col("language") != "und") & (F.col("probability") >= least))
+    return out.withColumn("accepted", (F.col("language") != OTHER) & (F.col("probability") >= least))
 
 
-def _log_table(soft: DataFrame, name: str, most: int = 64) -> list[Column]:
+def _log_table(soft: DataFrame, name: str, classes: int, most: int = 64) -> list[Column]:
     """Log P(value | language) as expressions; values beyond the most frequent ones share what is left."""
-    sums = soft.filter(F.col(name) != "").groupBy(name).agg(F.count("*").alias("rows"), *[F.sum(f"s{i}").alias(f"n{i}") for i in range(len(LANGUAGES))])
+    sums = soft.filter(F.col(name) != "").groupBy(name).agg(F.count("*").alias("rows"), *[F.sum(f"s{i}").alias(f"n{i}") for i in range(classes)])
     values = sums.orderBy(F.desc("rows"), name).limit(most).collect()
-    counts = np.array([[v[f"n{i}"] for i in range(len(LANGUAGES))] for v in values]).reshape(-1, len(LANGUAGES)) + 0.5
-    table = np.log(counts / (counts.sum(0) + 1))
+    counts = np.array([[v[f"n{i}"] for i in range(classes)] for v in values]).reshape(-1, classes)
+    share = counts.sum(1, keepdims=True) / max(counts.sum(), 1e-300)
+    table = np.log((counts + SMOOTH * (share + 1e-9)) / (counts.sum(0) + SMOOTH))  # a class with few rows tells nothing
     out = []
-    for k in range(len(LANGUAGES)):
+    for k in range(classes):
         # neither an unknown value nor a missing one tells languages apart
         e = F.lit(0.0)
         for i, v in enumerate(values):
@@ -199,12 +266,12 @@ def html_language(html: Column) -> Column:
     return F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z-]+)", 1)
 
 
-def kept_languages(docs: DataFrame, least: float = 0.5, host: str = "source") -> DataFrame:
+def kept_languages(docs: DataFrame, least: float = 0.5, host: str = "source", languages: Sequence[str] = LANGUAGES) -> DataFrame:
     """docs, with all their columns, without those that identified() doesn't accept.
 
     Rows of one doc_id go together: they stay if any of them is accepted; rows of a null doc_id all stay.
     """
-    found = written(identified(docs, "doc_id", F.col("text"), F.col("lang"), F.col(host), least), "languages")
+    found = written(identified(docs, "doc_id", F.col("text"), F.col("lang"), F.col(host), least, languages), "languages")
     gone = found.groupBy("doc_id").agg(F.bool_or("accepted").alias("any")).filter("not any").select("doc_id")
     gone = written(gone, "rejected")
     return docs.join(sized(gone, gone.count()), "doc_id", "left_anti")

@@ -286,6 +286,35 @@ def test_languages(spark):
     assert language_id.kept_languages(docs.limit(0)).count() == 0
 
 
+FOREIGN = {
+    "it": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri.",
+    "zh": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神互相对待。",
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+}
+
+
+def test_other_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    odd = [(-1 - 4 * i - k, text, declared, f"src{i}") for i, text in enumerate(FOREIGN.values()) for k, declared in enumerate((None, list(FOREIGN)[i], "fr"))]
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    found = {r.doc_id: r for r in language_id.identified(both, "doc_id", F.col("text"), F.col("lang"), F.col("source")).collect()}
+    assert all((found[d].language, found[d].text_language, found[d].accepted) == ("und", "und", False) for d, *_ in odd)
+    listed = [r for r in docs.collect() if r.text and r.text.strip()]
+    assert sum(found[r.doc_id].accepted and found[r.doc_id].language == r.lang for r in listed) > 0.98 * len(listed)
+    kept = {r.doc_id for r in language_id.kept_languages(both).collect()}
+    assert kept.isdisjoint(d for d, *_ in odd)
+
+
+def test_languages_are_a_parameter(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    found = {r.doc_id: r for r in language_id.identified(docs, "doc_id", F.col("text"), F.col("lang"), F.col("source"), languages=("en", "fr")).collect()}
+    assert {r.language for r in found.values()} == {"en", "fr", "und"}
+    for lang, want in (("en", "en"), ("fr", "fr"), ("de", "und"), ("es", "und")):
+        of = [found[r.doc_id].language for r in docs.filter(F.col("lang") == lang).collect()]
+        assert of.count(want) > 0.95 * len(of)
+
+
 def test_page_evidence(spark):
     html = "<!DOCTYPE html><HTML class=x lang='de-AT'><script>var a='<b>';</script><body><!-- x --><p>Guten <b>Tag</b></p></body></html>"
     row = spark.createDataFrame([(html,), (None,)], "h string").select(language_id.html_text(F.col("h")).alias("t"), language_id.html_language(F.col("h")).alias("l")).collect()
