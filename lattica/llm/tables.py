@@ -64,6 +64,18 @@ def attach(rows: DataFrame, table: DataFrame, key: list[str], size: str, total:
     return first.filter("_hot").select(*rows.columns, *more).unionByName(cold.select(*rows.columns, *more))
 
 
+def nameless(doc_id: Column, *of: Column) -> Column:
+    """Null for a row with a doc_id; for one without, a digest of what decides about it, nulls as empty."""
+    parts = [F.sha2(F.coalesce(c, F.lit("")), 256) for c in of]
+    return F.when(doc_id.isNull(), F.sha2(F.concat(*parts), 256))
+
+
+def without(docs: DataFrame, gone: DataFrame, digest: Column) -> DataFrame:
+    """docs without the rows whose doc_id and digest are in gone (_id, _digest), nulls equal to one another."""
+    gone = sized(gone, gone.count())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & digest.eqNullSafe(gone["_digest"]), "left_anti")
+
+
 def lower_ascii(text: Column) -> Column:
     """text, null as empty, with A-Z in lower case and all else as it is."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

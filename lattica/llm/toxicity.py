@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import textvec as tv
-from lattica.llm.tables import sized, written
+from lattica.llm.tables import nameless, without, written
 
 #: Texts that a model is trained on at most: confirmed ones, and unlabelled ones.
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 9000
@@ -189,7 +189,9 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, with all their columns, without the rows that a model learned from them predicts to be toxic.
 
-    Rows of one doc_id go together if any of them is toxic; rows of a null doc_id all stay.
+    Rows of one doc_id go together if any of them is toxic; of a null doc_id each row goes by itself.
     """
-    gone = written(scored(docs, learned(docs, labels)).filter("predicted = 1").select("doc_id").distinct(), "toxic")
-    return docs.join(sized(gone, gone.count()), "doc_id", "left_anti")
+    digest = nameless(docs["doc_id"], docs["text"])
+    rows = docs.select(F.col("doc_id").alias("_id"), digest.alias("_digest"), "text")
+    gone = scored(rows, learned(docs, labels), ["_id", "_digest"]).filter("predicted = 1").select("_id", "_digest").distinct()
+    return without(docs, written(gone, "toxic"), digest)

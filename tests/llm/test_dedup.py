@@ -130,6 +130,22 @@ def test_one_of_each(spark):
     assert ids == want
 
 
+def test_one_of_each_by_id_and_text(spark):
+    a, b, c, d, e = ("alpha beta gamma delta epsilon zeta " * 3, "one two three four five six seven", "red green blue white black grey", "north east south west up down", "sun moon star sky rain snow")
+    rows = [
+        (1, a), (7, a.upper()), (7, b),  # one of 7's texts has a smaller copy, the other none
+        (8, c), (8, d), (8, d),  # unrelated texts of one id, one of them repeated
+        (None, e), (None, "quite another text with no id at all"), (None, c.upper()), (None, "never linked to any other text here"), (None, "never linked to any other text here"),
+        (9, None), (9, ""), (8, None), (None, None), (None, ""),
+    ]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    left = [tuple(r) for r in ngram_jaccard.one_of_each(docs).collect()]
+    gone = [(7, a.upper()), (None, c.upper()), (8, d), (None, "never linked to any other text here")]
+    for row in gone:
+        rows.remove(row)
+    assert sorted(map(repr, left)) == sorted(map(repr, rows))
+
+
 def test_jaccard_empty(spark):
     assert ngram_jaccard.jaccard_groups(spark.createDataFrame([], DOCS)).count() == 0
     assert ngram_jaccard.jaccard_groups(spark.createDataFrame([(1, None), (2, "")], DOCS)).count() == 2

@@ -347,6 +347,15 @@ def test_learns_from_positives_and_unlabelled():
     assert (score[y == 1] >= 0.7).mean() > 0.9 and (score[y == 0] >= 0.7).mean() < 0.01
 
 
+def test_toxic_rows_without_an_id(spark):
+    rows = [(None if i % 4 == 0 else i, text, toxic) for i, (text, toxic) in enumerate(toxic_corpus(3, 1500))]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows if d is not None], "doc_id long, toxic int")
+    toxic = {(r.doc_id, r.text) for r in toxicity.scored(docs, toxicity.learned(docs, labels), ["doc_id", "text"]).filter("predicted = 1").collect()}
+    assert sum(d is None for d, _ in toxic) > 20
+    assert {tuple(r) for r in toxicity.without_toxic(docs, labels).collect()} == {r[:2] for r in rows} - toxic
+
+
 def test_toxicity_edges(spark, odd, empty):
     flat = toxicity.train(pa.array([], pa.string()), pa.array(["a"]), 0.1)
     assert np.allclose(flat.scores(pa.array(["a", None, ""])), 0.1)

@@ -49,6 +49,14 @@ def test_run_is_its_stages_by_hand(spark):
     assert sorted(map(tuple, found)) == sorted(map(tuple, expected))
 
 
+def test_language_of_rows_without_an_id(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang", "source")
+    bare = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    both = bare.unionByName(spark.createDataFrame([(None, "123 !!", "en", "s"), (None, None, None, None)], docs.schema))
+    kept = language_id.kept_languages(both)
+    assert kept.filter("text is null or text = '123 !!'").count() == 0 and kept.filter("doc_id is null").count() > 0
+
+
 def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
     rows = [(1, "The cat sat on the mat and looked at the dog", "en", "s"), (1, "The cat sat on the mat and looked at the dog", "en", "s"), (2, None, None, None), (None, "the other one is here with us", None, "s"), (3, "", "en", "s"), (4, "x " * 50_000, "en", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "length(text) AS n_chars", "1 AS score", "2 AS component", "'z' AS sha")
