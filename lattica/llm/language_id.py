@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import textvec as tv
-from lattica.llm.tables import nameless, sized, without, written
+from lattica.llm.tables import BROADCAST_ROWS, attach, nameless, sized, without, written
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Trigrams are hashed to 2**BITS counters.
@@ -209,7 +209,7 @@ def identified(rows: DataFrame, key: str, text: Column, declared: Column, host:
     whole = sum(weights[1:], weights[0])
     soft = scored.withColumns({f"s{i}": F.when(F.col("trigrams") > 0, w / whole).otherwise(0.0) for i, w in enumerate(weights)})
     sums = [F.sum(f"s{i}").alias(f"n{i}") for i in range(len(P))]
-    # hosts are many: they stay a table. Suffixes and declared languages that matter are few: see _log_table.
+    # hosts, suffixes and declared languages stay tables, however many there are
     hosts = soft.groupBy("host", "domain").agg(*sums)
     domains = hosts.groupBy("domain").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(len(P))])
     everything = domains.agg(*[F.coalesce(F.sum(f"d{i}"), F.lit(0.0)).alias(f"g{i}") for i in range(len(P))]).first()
@@ -221,9 +221,12 @@ def identified(rows: DataFrame, key: str, text: Column, declared: Column, host:
     prior = hosts.select("host", *[F.log((F.col(f"n{i}") + SMOOTH * domain_prior[i]) / (n_all + SMOOTH)).alias(f"h{i}") for i in range(len(P))])
     prior = written(prior, "host-priors")
     log = [F.col(p) + F.col(f"h{i}") for i, p in enumerate(P)]
-    for name in ("lang", "suffix"):
-        log = [a + b for a, b in zip(log, _log_table(soft, name, len(P)))]
     joined = scored.join(sized(prior, prior.count()), "host")
+    for name in ("lang", "suffix"):
+        table = _log_table(soft, name, len(P))
+        few = table.count() <= BROADCAST_ROWS
+        joined = joined.join(F.broadcast(table), name) if few else attach(joined, table, [name], f"{name}_rows", total)
+        log = [x + F.col(f"{name}{i}") for i, x in enumerate(log)]
     top = F.greatest(*log)
     mass = [F.exp(x - top) for x in log]
     p = F.lit(1.0) / sum(mass[1:], mass[0])
@@ -238,21 +241,17 @@ def identified(rows: DataFrame, key: str, text: Column, declared: Column, host:
     return out.withColumn("accepted", (F.col("language") != OTHER) & (F.col("probability") >= least))
 
 
-def _log_table(soft: DataFrame, name: str, classes: int, most: int = 64) -> list[Column]:
-    """Log P(value | language) as expressions; values beyond the most frequent ones share what is left."""
-    sums = soft.filter(F.col(name) != "").groupBy(name).agg(F.count("*").alias("rows"), *[F.sum(f"s{i}").alias(f"n{i}") for i in range(classes)])
-    values = sums.orderBy(F.desc("rows"), name).limit(most).collect()
-    counts = np.array([[v[f"n{i}"] for i in range(classes)] for v in values]).reshape(-1, classes)
-    share = counts.sum(1, keepdims=True) / max(counts.sum(), 1e-300)
-    table = np.log((counts + SMOOTH * (share + 1e-9)) / (counts.sum(0) + SMOOTH))  # a class with few rows tells nothing
-    out = []
-    for k in range(classes):
-        # neither an unknown value nor a missing one tells languages apart
-        e = F.lit(0.0)
-        for i, v in enumerate(values):
-            e = F.when(F.col(name) == v[name], float(table[i, k])).otherwise(e)
-        out.append(e)
-    return out
+def _log_table(soft: DataFrame, name: str, classes: int) -> DataFrame:
+    """Log P(value | class) of every value of a column: name, {name}_rows, {name}0, {name}1, ...
+
+    A value that few rows have is drawn towards its share of all rows, so it tells little; a missing one tells nothing.
+    """
+    sums = soft.groupBy(name).agg(F.count("*").alias(f"{name}_rows"), *[F.sum(f"s{i}").alias(f"n{i}") for i in range(classes)])
+    sums = written(sums, f"{name}-sums")
+    whole = sums.filter(F.col(name) != "").agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0.0)) for i in range(classes)]).first()
+    share = sum((F.col(f"n{i}") for i in range(1, classes)), F.col("n0")) / max(sum(whole), 1e-300)
+    logs = [F.when(F.col(name) == "", 0.0).otherwise(F.log((F.col(f"n{i}") + SMOOTH * (share + 1e-9)) / (whole[i] + SMOOTH))) for i in range(classes)]
+    return sums.select(name, f"{name}_rows", *[x.alias(f"{name}{i}") for i, x in enumerate(logs)])
 
 
 def html_text(html: Column) -> Column:

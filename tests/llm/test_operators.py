@@ -315,6 +315,17 @@ def test_languages_are_a_parameter(spark):
         assert of.count(want) > 0.95 * len(of)
 
 
+def test_rare_suffixes_tell_languages(spark):
+    say = {"en": "the of and that is with from have this they hand arm winter", "de": "der die und nicht mit von sich auch werden hand arm winter"}
+    rows = [(i, say["en"], "en", f"h{i}.x{i}.s{i % 70}") for i in range(420)]
+    rows += [(500 + i, say["de"], "de", f"h{i}.y{i}.ch" if i < 5 else f"d{i}") for i in range(420)]
+    rows += [(1000, "winter hand arm", None, "new"), (1001, "winter hand arm", None, "new.ch")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r for r in language_id.identified(docs, "doc_id", F.col("text"), F.col("lang"), F.col("source")).filter("doc_id >= 1000").collect()}
+    german = {d: r.probability if r.language == "de" else 1 - r.probability for d, r in found.items()}
+    assert found[1001].language == "de" and german[1001] / (1 - german[1001]) > 10 * german[1000] / (1 - german[1000])
+
+
 def test_page_evidence(spark):
     html = "<!DOCTYPE html><HTML class=x lang='de-AT'><script>var a='<b>';</script><body><!-- x --><p>Guten <b>Tag</b></p></body></html>"
     row = spark.createDataFrame([(html,), (None,)], "h string").select(language_id.html_text(F.col("h")).alias("t"), language_id.html_language(F.col("h")).alias("l")).collect()
