@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when it is counted to have no more rows than this (narrow rows, so tens of MB).
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 #: A key with more than 1/HOT_SHARE of all rows is hot; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 256
 
@@ -38,10 +38,10 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a table made by written() that nothing reads any more."""
+def drop(df: DataFrame, part: str = "") -> None:
+    """Deletes the files of a table made by written(), or of a partition of it, that nothing reads any more."""
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._lattica_path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{df._lattica_path}/{part}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

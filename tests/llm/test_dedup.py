@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from lattica.llm import exact_dedup, golomb, ngram_jaccard
 from lattica.llm import textvec as tv
-from lattica.llm.components import components
+from lattica.llm.components import components, rooted
 
 DOCS = "doc_id long, text string"
 LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -153,7 +153,7 @@ def test_jaccard_empty(spark):
 
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**6), st.sampled_from([(85, 100), (80, 100), (1, 2)]))
-def test_linked_sets_share_a_signature(seed, at):
+def test_linked_sets_meet_in_lists(seed, at):
     rnd = np.random.default_rng(seed)
     num, den = at
     a = rnd.choice(2**60, rnd.integers(1, 120), replace=False)
@@ -163,17 +163,52 @@ def test_linked_sets_share_a_signature(seed, at):
             b = np.delete(b, rnd.integers(len(b)))
         else:
             b = np.append(b, rnd.integers(2**60))
-    sets = [np.unique(x).astype(np.uint64) for x in (a, b)]
-    common = len(np.intersect1d(*sets))
-    size = np.array([len(s) for s in sets])
-    row = np.repeat([0, 1], size)
-    sigs = [set(), set()]
-    for r, s in ngram_jaccard.signatures(row, np.concatenate(sets), size, num, den):
-        for i in (0, 1):
-            sigs[i] |= set(s[r == i].tolist())
-    equal = size[0] == size[1] == common
-    if not equal and den * common >= num * (size.sum() - common):
-        assert sigs[0] & sigs[1]
+    c = rnd.choice(2**60, rnd.integers(1, 120), replace=False)
+    sets = [np.unique(x).astype(np.uint64) for x in (a, b, c, a[: len(a) // 2 + 1], np.append(a, c[:3]))]
+    size = np.array([len(x) for x in sets])
+    row, token = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+    row, token, bound = ngram_jaccard.prefixes(row, token, size, (token % np.uint64(7)).astype(np.int64), num, den)
+    order, link, other, keep = ngram_jaccard.listed(token, size[row], bound)
+    row = row[order]
+    root = rooted(len(sets), row[link], row[other[link]])
+    # the entries that are kept, met by those of one set alone, connect it as all entries do
+    linked = lambda x, y: den * len(np.intersect1d(x, y)) >= num * len(np.union1d(x, y))
+    for i in range(len(sets)):
+        for j in range(i):
+            assert not linked(sets[i], sets[j]) or root[i] == root[j]
+    first = np.flatnonzero(keep)
+    token, bound = token[order], bound[order]
+    x, y = first, np.arange(len(token))
+    meets = (token[x][:, None] == token[y]) & (size[row[x]][:, None] <= bound[y]) & (size[row[y]] <= bound[x][:, None])
+    u, v = np.nonzero(meets)
+    assert (rooted(len(sets), row[x[u]], row[y[v]]) == root).all()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_join_within_a_component(seed):
+    rnd = np.random.default_rng(seed)
+    base = rnd.choice(10**6, 300, replace=False)
+    sets = [np.unique(np.where(rnd.random(300) < rnd.choice([0.01, 0.05, 0.08]), rnd.choice(10**6, 300), base)).astype(np.uint64) for _ in range(400)]
+    common = [len(np.intersect1d(a, b)) for a in sets for b in sets]
+    size = np.array([len(x) for x in sets])
+    linked = 100 * np.array(common).reshape(400, 400) >= 85 * (size[:, None] + size - np.array(common).reshape(400, 400))
+    assert (ngram_jaccard.Joined(sets, 85, 100, block=8).join() == rooted(400, *np.nonzero(linked))).all()
+
+
+def test_a_group_over_one_chunk(spark):
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(1300):
+        text = list(base)
+        for _ in range(rnd.choice([1, 1, 2, 3])):
+            text[rnd.randrange(40)] = f"x{rnd.randrange(60)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    found = ngram_jaccard.jaccard_groups(docs, 4, 85, 100)
+    want = groups_by_hand(rows, 4, 85, 100)
+    assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in found.collect()) == want
+    assert 1 < len({x.rsplit(",")[2] for x in want}) < 1300
 
 
 def test_words_and_shingles():
