@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import textvec as tv
-from lattica.llm.tables import BROADCAST_ROWS, attach, nameless, sized, without, written
+from lattica.llm.tables import BROADCAST_ROWS, attach, digest_of, sized, without, written
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Trigrams are hashed to 2**BITS counters.
@@ -268,11 +268,10 @@ def html_language(html: Column) -> Column:
 def kept_languages(docs: DataFrame, least: float = 0.5, host: str = "source", languages: Sequence[str] = LANGUAGES) -> DataFrame:
     """docs, with all their columns, without those that identified() doesn't accept.
 
-    Rows of one doc_id go together: they stay if any of them is accepted; of a null doc_id each row goes by itself.
+    Each row is judged by itself: rows that share a doc_id, null too, are told apart by text, language and host.
     """
-    digest = nameless(docs["doc_id"], docs["text"], docs["lang"], docs[host])
+    digest = digest_of(docs["text"], docs["lang"], docs[host])
     rows = docs.select(F.struct("doc_id", digest.alias("digest")).alias("row"), "text", "lang", F.col(host).alias("host"))
     found = written(identified(rows, "row", F.col("text"), F.col("lang"), F.col("host"), least, languages), "languages")
-    gone = found.groupBy("row").agg(F.bool_or("accepted").alias("any")).filter("not any")
-    gone = written(gone.select(F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest")), "rejected")
+    gone = written(found.filter("not accepted").select(F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest")).distinct(), "rejected")
     return without(docs, gone, digest)

@@ -20,6 +20,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         base = spark.conf.get("lattica.scratch.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-lattica-")
         spark.conf.set("lattica.scratch.dir", base)
     return base.rstrip("/")
@@ -64,10 +66,9 @@ def attach(rows: DataFrame, table: DataFrame, key: list[str], size: str, total:
     return first.filter("_hot").select(*rows.columns, *more).unionByName(cold.select(*rows.columns, *more))
 
 
-def nameless(doc_id: Column, *of: Column) -> Column:
-    """Null for a row with a doc_id; for one without, a digest of what decides about it, nulls as empty."""
-    parts = [F.sha2(F.coalesce(c, F.lit("")), 256) for c in of]
-    return F.when(doc_id.isNull(), F.sha2(F.concat(*parts), 256))
+def digest_of(*of: Column) -> Column:
+    """A 64-bit digest of what decides about a row besides its doc_id, nulls as empty."""
+    return F.xxhash64(*[F.coalesce(c, F.lit("")) for c in of])
 
 
 def without(docs: DataFrame, gone: DataFrame, digest: Column) -> DataFrame:

@@ -10,7 +10,8 @@ from unlabelled texts beyond chance.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,27 +19,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import textvec as tv
-from lattica.llm.tables import nameless, without, written
+from lattica.llm.tables import digest_of, without, written
 
-#: Texts that a model is trained on at most: confirmed ones, and unlabelled ones.
-MOST_POSITIVE, MOST_UNLABELLED = 3000, 9000
-#: How much commoner in positives than by chance a word must be to become a feature: twice its log likelihood ratio.
-SURPRISE = 20.0
+#: Texts that a model is trained on at most: confirmed ones, and unlabelled ones; the bytes of them together, and of one.
+MOST_POSITIVE, MOST_UNLABELLED, MOST_BYTES, LONGEST = 3000, 9000, 64 << 20, 1 << 20
 #: Positives that a word must be in to be looked at.
 LEAST_TEXTS = 3
 #: Lengths in bytes of the beginnings of longer words that are features as well.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
+#: Cross-validation: parts of the training texts, and steps of each fit.
+FOLDS, SHORT = 3, 150
 
 
-def word_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+class Setting(NamedTuple):
+    """surprise: how much commoner in positives than by chance a feature must be, as twice its log likelihood ratio.
+
+    slack: how many times as many unlabelled texts may have it as if it were in toxic texts only. stems: whether
+    beginnings of words count.
+    """
+
+    surprise: float
+    slack: float
+    stems: bool
+
+
+#: What cross-validation chooses from; of equally good ones the first.
+SETTINGS = [Setting(surprise, slack, stems) for stems in (True, False) for slack in (1.5, 4.0) for surprise in (20.0, 10.0, 40.0)]
+
+
+def word_sets(column: pa.Array, beginnings: tuple[int, ...] = BEGINNINGS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a column: first row, rows, and the sorted distinct (row, hash) of words and their beginnings."""
     data, at = tv.buffers(column)
     for i, j in tv.slices(at):
         part = data[at[i] : at[j]]
         row, start, end = tv.spans(part, at[i : j + 1] - at[i], tv.NO_LETTER)
         rows, starts, ends, kinds = [row], [start], [end], [np.zeros(len(row), np.uint64)]
-        for n in BEGINNINGS:
+        for n in beginnings:
             use = end - start > n
             rows.append(row[use])
             starts.append(start[use])
@@ -80,58 +97,81 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(positive: pa.Array, unlabelled: pa.Array, prior: float, steps: int = 800, rate: float = 0.05, decay: float = 2e-5) -> Model:
-    """The classifier of least non-negative positive-unlabelled risk, by Adam over all texts at each step.
+class Features(NamedTuple):
+    """Texts as (row, place in the vocabulary), the features that positives have; stem: which of those are beginnings only."""
 
-    Without positives or unlabelled texts every score is the prior's.
-    """
-    prior = float(np.clip(prior, 1e-3, 0.9))
-    flat = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    if not len(positive) or not len(unlabelled):
-        return flat
-    n = len(positive), len(unlabelled)
+    vocabulary: np.ndarray
+    stem: np.ndarray
+    parts: list[tuple[np.ndarray, np.ndarray]]  # of positives and of unlabelled texts
+    n: tuple[int, int]
+
+    def some(self, rows: list[np.ndarray]) -> Features:
+        """The same with some rows (a mask for each part)."""
+        parts = []
+        for (r, f), use in zip(self.parts, rows):
+            hit = use[r]
+            parts.append(((np.cumsum(use) - 1)[r[hit]].astype(np.int32), f[hit]))
+        return self._replace(parts=parts, n=tuple(int(u.sum()) for u in rows))
+
+
+def features(positive: pa.Array, unlabelled: pa.Array) -> Features:
     own = [(first + row, word) for first, _, row, word in word_sets(positive)]
-    vocabulary, count = np.unique(np.concatenate([w for _, w in own]), return_counts=True)
+    vocabulary, count = np.unique(np.concatenate([w for _, w in own] or [np.zeros(0, np.uint64)]), return_counts=True)
     vocabulary = vocabulary[count >= LEAST_TEXTS]
-    if not len(vocabulary):
-        return flat
+    whole = np.unique(np.concatenate([w for *_, w in word_sets(positive, ())] or [np.zeros(0, np.uint64)]))
 
-    def known(sets: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """(row, place in the vocabulary), slice by slice, so that words never seen in positives take no memory."""
+    def known(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Slice by slice, so that words never seen in positives take no memory."""
         out = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
-        for row, word in sets:
-            at = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
-            hit = vocabulary[at] == word
-            out.append((row[hit].astype(np.int32), at[hit].astype(np.int32)))
+        for first, _, row, word in word_sets(column):
+            at = np.minimum(np.searchsorted(vocabulary, word), max(len(vocabulary) - 1, 0))
+            hit = vocabulary[at] == word if len(vocabulary) else np.zeros(len(word), bool)
+            out.append(((first + row[hit]).astype(np.int32), at[hit].astype(np.int32)))
         return tuple(map(np.concatenate, zip(*out)))
 
-    found = [known(own), known((first + row, word) for first, _, row, word in word_sets(unlabelled))]
-    del own
-    count_p, count_u = (np.bincount(f, minlength=len(vocabulary)) for _, f in found)
+    return Features(vocabulary, ~np.isin(vocabulary, whole), [known(positive), known(unlabelled)], (len(positive), len(unlabelled)))
+
+
+def chosen(x: Features, prior: float, setting: Setting) -> np.ndarray:
+    """Places of the features that part positives from unlabelled texts."""
+    n = x.n
+    count_p, count_u = (np.bincount(f, minlength=len(x.vocabulary)) for _, f in x.parts)
     expected = (count_p + count_u) * (n[0] / (n[0] + n[1]))
-    surprise = 2 * (count_p * np.log(np.maximum(count_p, 1) / expected) - count_p + expected)
+    surprise = 2 * (count_p * np.log(np.maximum(count_p, 1) / np.maximum(expected, 1e-300)) - count_p + expected)
     # a word of toxic texts only is prior times as common among unlabelled texts as among positives
     pure = count_p / n[0] * prior * n[1]
-    chosen = np.flatnonzero((surprise > SURPRISE) & (count_p > expected) & (count_u < 1.3 * pure + 2 * np.sqrt(pure)))
-    if not len(chosen):
-        return flat
-    place = np.full(len(vocabulary), -1)
-    place[chosen] = np.arange(len(chosen))
-    parts = [(r[place[f] >= 0], place[f[place[f] >= 0]]) for r, f in found]
-    k = len(chosen)
+    use = (count_p >= LEAST_TEXTS) & (surprise > setting.surprise) & (count_p > expected) & (count_u < setting.slack * pure + 2 * np.sqrt(pure))
+    return np.flatnonzero(use & (setting.stems | ~x.stem))
+
+
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The non-negative risk of outputs under the logistic loss."""
+    return float(prior * np.logaddexp(0, -positive).mean() + max(0.0, np.logaddexp(0, unlabelled).mean() - prior * np.logaddexp(0, positive).mean()))
+
+
+def outputs(x: Features, use: np.ndarray, w: np.ndarray, bias: float) -> list[np.ndarray]:
+    """What the classifier of some features says of the positives and of the unlabelled texts."""
+    weight = np.zeros(len(x.vocabulary))
+    weight[use] = w
+    return [np.bincount(r, weight[f], n) + bias for (r, f), n in zip(x.parts, x.n)]
+
+
+def fitted(x: Features, prior: float, setting: Setting, steps: int, rate: float = 0.05, decay: float = 2e-5) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features, weights (none negative) and bias of least non-negative risk, by Adam over all texts at each step."""
+    use = chosen(x, prior, setting)
+    place = np.full(len(x.vocabulary), -1)
+    place[use] = np.arange(len(use))
+    parts = [(r[place[f] >= 0], place[f[place[f] >= 0]]) for r, f in x.parts]
+    n, k = x.n, len(use)
     w, bias = np.zeros(k), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
 
-    def output(part: int) -> np.ndarray:
-        r, f = parts[part]
-        return np.bincount(r, w[f], n[part]) + bias
-
     def gradient(part: int, by_output: np.ndarray) -> np.ndarray:
         r, f = parts[part]
         return np.append(np.bincount(f, by_output[r], k), by_output.sum())
 
-    for step in range(1, steps + 1):
-        zp, zu = output(0), output(1)
+    for step in range(1, steps + 1 if k else 1):
+        zp, zu = (np.bincount(r, w[f], n[i]) + bias for i, (r, f) in enumerate(parts))
         sp, su = _sigmoid(zp), _sigmoid(zu)
         # losses: softplus(-z) as positive, softplus(z) as negative
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
@@ -142,23 +182,53 @@ def train(positive: pa.Array, unlabelled: pa.Array, prior: float, steps: int = 8
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = np.maximum(w - move[:k], 0), bias - move[k]
-    return Model(vocabulary[chosen], w, bias)
+    return use, w, bias
+
+
+def best_setting(x: Features, prior: float) -> Setting:
+    """The setting of least risk, summed over folds of the training texts, each judged by fits to the others."""
+    folds = [np.arange(n) % FOLDS for n in x.n]
+    if min(x.n) < 2 * FOLDS:
+        return SETTINGS[0]
+    total = []
+    for setting in SETTINGS:
+        total.append(0.0)
+        for k in range(FOLDS):
+            train, test = x.some([f != k for f in folds]), x.some([f == k for f in folds])
+            total[-1] += risk(*outputs(test, *fitted(train, prior, setting, SHORT)), prior)
+    return SETTINGS[int(np.argmin(np.round(total, 6)))]
+
+
+def train(positive: pa.Array, unlabelled: pa.Array, prior: float, steps: int = 800) -> Model:
+    """The classifier of least risk, with the setting that cross-validation within these texts finds best.
+
+    Without positives or unlabelled texts, or without any feature, every score is the prior's.
+    """
+    prior = float(np.clip(prior, 1e-3, 0.9))
+    flat = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
+    if not len(positive) or not len(unlabelled):
+        return flat
+    x = features(positive, unlabelled)
+    use, w, bias = fitted(x, prior, best_setting(x, prior), steps)
+    return Model(x.vocabulary[use], w, bias) if len(use) else flat
 
 
-def learned(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
+def learned(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, most_bytes: int = MOST_BYTES, longest: int = LONGEST) -> Model:
     """A model from the rows of docs that aren't held out; the class prior is the share of toxic ones among labels.
 
-    The texts brought to the driver are at most about most_positive and most_unlabelled, picked by doc_id's hash.
+    The texts brought to the driver are of at most longest bytes each, and at most about most_positive and
+    most_unlabelled, or fewer where they would come to more than about most_bytes; they are picked by doc_id's hash.
     """
     own = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", "toxic").distinct()
     n, toxic = own.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
-    total = docs.count()
-    share = lambda most, of: min(1.0, most / max(of, 1))
+    some = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
+    total, size = some.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    fits = most_bytes / max(size / max(total, 1), 1) / (most_positive + most_unlabelled)
+    share = lambda most, of: min(1.0, most * min(1.0, fits) / max(of, 1))
     dealt = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     confirmed = own.filter("toxic = 1").filter(dealt < share(most_positive, toxic)).select("doc_id").distinct()
-    some = docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text")
-    positive = some.join(F.broadcast(confirmed), "doc_id", "left_semi").select("text").toArrow()
-    unlabelled = some.filter(dealt < share(most_unlabelled, total * 2 / 3)).select("text").toArrow()
+    positive = some.join(F.broadcast(confirmed), "doc_id", "left_semi").orderBy("doc_id", "text").select("text").toArrow()
+    unlabelled = some.filter(dealt < share(most_unlabelled, total)).orderBy("doc_id", "text").select("text").toArrow()
     one = lambda t: t.column("text").combine_chunks() if t.num_rows else pa.array([], pa.string())
     return train(_single(one(positive)), _single(one(unlabelled)), toxic / max(n, 1))
 
@@ -189,9 +259,9 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, with all their columns, without the rows that a model learned from them predicts to be toxic.
 
-    Rows of one doc_id go together if any of them is toxic; of a null doc_id each row goes by itself.
+    Each row is judged by itself: rows that share a doc_id, null too, are told apart by their texts.
     """
-    digest = nameless(docs["doc_id"], docs["text"])
+    digest = digest_of(docs["text"])
     rows = docs.select(F.col("doc_id").alias("_id"), digest.alias("_digest"), "text")
     gone = scored(rows, learned(docs, labels), ["_id", "_digest"]).filter("predicted = 1").select("_id", "_digest").distinct()
     return without(docs, written(gone, "toxic"), digest)
