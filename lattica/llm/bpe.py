@@ -202,13 +202,13 @@ def shared(rank_file: bytes, pattern: str) -> Bpe:
 def encoded(docs: DataFrame, rank_path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
     """For each row: the kept columns, then ids (binary: little-endian unsigned 32-bit numbers).
 
-    rank_path: a file on the driver, of under 64 MB; its bytes are broadcast. Null text counts as empty and has no
+    rank_path: a file on the driver; all its bytes are broadcast. Null text counts as empty and has no
     ids; texts of any length are encoded whole; rows that repeat stay; no rows give none. Columns not in keep (doc_id
     by default) are left out, so their names can't clash.
     """
     keep = keep or ["doc_id"]
     with open(rank_path, "rb") as f:
-        ranks = f.read(64 << 20)
+        ranks = f.read()
     held = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +230,7 @@ def decoded(rows: DataFrame, rank_path: str, pattern: str, keep: list[str] | Non
     """
     keep = keep or ["doc_id"]
     with open(rank_path, "rb") as f:
-        ranks = f.read(64 << 20)
+        ranks = f.read()
     held = rows.sparkSession.sparkContext.broadcast(ranks)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

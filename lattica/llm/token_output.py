@@ -1,8 +1,8 @@
 """Token-id output: best-fit-decreasing packing into rows of one width, with offsets and position resets.
 
-Documents are encoded, those longer than a row split without loss, and pieces packed within each partition: groups of
-pieces of a bounded number of tokens are sorted by length, and each piece goes into the row that it leaves least room
-in; a segment tree over rows' room finds it. So no shuffle takes place and memory is bounded by a group.
+Documents are encoded, those longer than a row split without loss, and pieces dealt by hash to groups of a bounded
+number of tokens. In each, by decreasing length, a piece goes into the row that it leaves least room in; a segment tree
+over rows' room finds it. So memory is bounded by a group, and the rows don't depend on how the input is partitioned.
 """
 
 from __future__ import annotations
@@ -13,13 +13,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lattica.llm.bpe import ranks_of
+from lattica.llm.tables import written
 
 WIDTH = 2048
-#: Tokens that a partition packs at once.
+#: Tokens of a group, more or less; a group never holds twice as many.
 GROUP_TOKENS = 1 << 22
 
 
@@ -94,28 +95,36 @@ def packed_ids(docs: DataFrame, rank_path: str, pattern: str, width: int = WIDTH
     cu_seqlens: where segments begin and the last one ends. positions start from 0 in each segment. A document of more
     than width tokens is split into parts 0, 1, ... of width tokens and a rest, which joined give all its ids. Null or
     empty texts have no tokens and are in no row; documents that repeat are all packed; a null doc_id stays null; no
-    rows give none; other columns aren't looked at. pack_id is unique; which documents share a row depends on how docs
-    is partitioned.
+    rows give none; other columns aren't looked at. pack_id is unique.
     """
     with open(rank_path, "rb") as f:
-        ranks = f.read(64 << 20)
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
+        held = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = pa.schema([("pack_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("n_tokens", pa.int32()), ("ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("positions", pa.binary())])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, free = _encoding(held.value, pattern)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, _ = _encoding(held.value, pattern)
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                out: list[tuple[int | None, int, int, bytes]] = []
+                for doc_id, text in zip(b["doc_id"].slice(i, 1024).to_pylist(), b["text"].slice(i, 1024).to_pylist()):
+                    ids = np.array(encoding.encode_ordinary(text), "<u4").tobytes() if text else b""
+                    out += [(doc_id, k // width, min(width, len(ids) // 4 - k), ids[4 * k : 4 * (k + width)]) for k in range(0, len(ids) // 4, width)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["doc_id", "part", "n", "ids"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, free = _encoding(held.value, pattern)
         fill = free if pad is None else pad
-        next_id = TaskContext.get().partitionId() << 33
         group: list[tuple[int | None, int, bytes]] = []
-        tokens = 0
+        at, tokens, next_id = None, 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal next_id
             lengths = np.array([len(ids) // 4 for _, _, ids in group], np.int64)
             rows = best_fit(lengths, width)
-            for at in range(0, len(rows), 512):
+            for start in range(0, len(rows), 512):
                 out = []
-                for row in rows[at : at + 512]:
+                for row in rows[start : start + 512]:
                     ends = np.concatenate(([0], np.cumsum(lengths[row]))).astype(np.int32)
                     ids, positions = np.full(width, fill, "<u4"), np.zeros(width, "<u4")
                     ids[: ends[-1]] = np.frombuffer(b"".join(group[i][2] for i in row), "<u4")
@@ -125,21 +134,23 @@ def packed_ids(docs: DataFrame, rank_path: str, pattern: str, width: int = WIDTH
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), schema)], schema=schema)
             group.clear()
 
-        for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
-                for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-                    ids = np.array(encoding.encode_ordinary(text), "<u4").tobytes() if text else b""
-                    for k in range(0, len(ids), 4 * width):
-                        group.append((doc_id, k // (4 * width), ids[k : k + 4 * width]))
-                    tokens += len(ids) // 4
-                    if tokens >= group_tokens:
-                        yield from flush()
-                        tokens = 0
+        for b in batches:  # groups one after another, sorted
+            for own, doc_id, part, n, ids in zip(*(b[c].to_pylist() for c in ("group", "doc_id", "part", "n", "ids"))):
+                if group and (own != at or tokens + n > 2 * group_tokens):  # the latter where one group has many repeated rows
+                    yield from flush()
+                    tokens = 0
+                if own != at:
+                    at, next_id = own, own << 33
+                group.append((doc_id, part, ids))
+                tokens += n
         if group:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
+    pieces = written(docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, part int, n int, ids binary"), "pieces")
+    total = pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = -(-total // group_tokens) or 1
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "part", "ids"), F.lit(groups)))
+    return dealt.repartition("group").sortWithinPartitions("group", F.desc("n"), "doc_id", "part", "ids").mapInArrow(pack, SCHEMA)
 
 
 DIGESTS = "pack_id long, doc_ids array<long>, parts array<int>, n_tokens int, cu_seqlens array<int>, ids_sha256 string, positions_sha256 string, max_position int"
