@@ -13,9 +13,6 @@ from pyspark.sql.window import Window
 
 from lattica.llm.tables import written
 
-#: Lengths up to this count as they are; longer ones are rounded up to 7 binary digits. So a histogram has at most
-#: EXACT + 64 * 40 entries, whatever the table.
-EXACT = 32768
 #: Hex digits of an MD5 that deal a bucket's documents to parts, each ordered on its own.
 PART_DIGITS = 3
 
@@ -25,12 +22,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def coarse(length: Column) -> Column:
-    """The length that stands for a length in the histogram and in padding: itself, or rounded up if over EXACT."""
-    unit = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double") - 0.5)) - 6, F.lit(0)).cast("double"))
-    return F.when(length <= EXACT, length).otherwise((F.ceil(length / unit) * unit).cast("long"))
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Ascending boundaries, at most so many, with the least sum of counts * (boundary - length).
 
@@ -76,17 +67,18 @@ def packed(docs: DataFrame, buckets: int = 8, budget: int = 16384, length: Colum
     A batch holds budget // pad_to documents of one bucket, at least one; only the last of a bucket can hold fewer.
     length: words by default; null text has length 0. Documents of length 0 need no padding beyond their bucket's.
     Order within a bucket is by the MD5 of doc_id (null: empty), then doc_id, then length; ties beyond that are
-    alike. Repeated rows all stay; no rows give none; of other columns none is looked at.
+    alike. Repeated rows all stay; no rows give none; of other columns none is looked at. Lengths are exact, and the
+    histogram on the driver stays small: d distinct lengths add up to d * d / 2 words at least, so 10 billion words have
+    at most 141,000 of them.
     """
-    rows = written(docs.select("doc_id", (n_words(F.col("text")) if length is None else length).alias("length")), "lengths").withColumn("coarse", coarse(F.col("length")))
-    # at most EXACT + 2560 rows reach the driver
-    histogram = rows.groupBy("coarse").count().toPandas().sort_values("coarse")
-    edges = boundaries(histogram["coarse"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64), buckets)
+    rows = written(docs.select("doc_id", (n_words(F.col("text")) if length is None else length).alias("length")), "lengths")
+    histogram = rows.groupBy("length").count().toPandas().sort_values("length")
+    edges = boundaries(histogram["length"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64), buckets)
     if not edges:
         return rows.select("doc_id", "length", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("pad_to"), F.lit(0).cast("long").alias("padding"), F.lit(0).cast("long").alias("batch")).limit(0)
     bucket = F.lit(0)
     for e in edges[:-1]:
-        bucket = bucket + (F.col("coarse") > e).cast("int")
+        bucket = bucket + (F.col("length") > e).cast("int")
     pads = F.array(*[F.lit(e).cast("long") for e in edges])
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = rows.withColumn("bucket", bucket).withColumn("pad_to", F.element_at(pads, F.col("bucket") + 1)).withColumn("digest", digest).withColumn("part", F.substring("digest", 1, PART_DIGITS))

@@ -93,7 +93,7 @@ def _op2_sql() -> str:
 
 
 def _op4_sql() -> str:
-    """The dynamic programme level by level, then batches by a running number. Lengths stay under length_packing.EXACT."""
+    """The dynamic programme level by level, then batches by a running number."""
     levels = ["f1 AS (SELECT j, top * c - w AS cost, [CAST(0 AS BIGINT)] AS cuts FROM points)"]
     for k in range(2, BUCKETS + 1):
         levels.append(f"""
