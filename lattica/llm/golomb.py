@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
+#: Bits that decode() lists at once.
+WINDOW = 1 << 18
 
 
 def rice_bits(span: int, n: int) -> int:
@@ -31,17 +33,21 @@ def decode(blob: bytes, n: int, start: int, bits: int) -> np.ndarray:
     if not n:
         return np.zeros(0, U)
     raw = np.unpackbits(np.frombuffer(blob, np.uint8))
-    ones = np.flatnonzero(raw)
     stops, at = np.empty(n, np.int64), 0
     if bits:  # ones among remainder bits end no quotient: step from stop to stop
-        nxt = np.searchsorted(ones, np.arange(len(raw) + 1))
-        padded = np.concatenate((ones, [len(raw)]))[nxt]
-        follow = padded.tolist()
-        for i in range(n):
-            stops[i] = s = follow[at]
-            at = s + 1 + bits
+        i, wide = 0, WINDOW
+        while i < n:
+            own = np.flatnonzero(raw[at : at + wide])
+            end = min(wide, len(raw) - at)
+            follow = np.append(own, end)[np.searchsorted(own, np.arange(end))].tolist()
+            p = 0
+            while i < n and p < end and follow[p] < end:
+                stops[i] = at + follow[p]
+                p = follow[p] + 1 + bits
+                i += 1
+            at, wide = at + p, wide if p else 2 * wide
     else:
-        stops[:] = ones[:n]
+        stops[:] = np.flatnonzero(raw)[:n]
     begin = np.concatenate(([0], stops[:-1] + 1 + bits))
     gaps = (stops - begin).astype(U) << U(bits)
     for k in range(bits):
