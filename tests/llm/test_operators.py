@@ -159,8 +159,13 @@ def test_packed(spark, odd, empty):
         last = max(b for k, b in by if k == bucket)
         assert len(own) == each if batch < last else len(own) <= each
     assert length_packing.packed(empty).count() == 0
-    lengths = spark.createDataFrame([(n,) for n in (0, 1, 5, 32768, 32769, 40000, 10**9)], "n long").select("n", length_packing.coarse(F.col("n")).alias("c")).collect()
-    assert all(r.c >= r.n and r.c <= r.n * 1.02 for r in lengths) and all(r.c == r.n for r in lengths if r.n <= 32768)
+
+
+def test_long_lengths_are_exact(spark):
+    lengths = [32769, 33000, 33001, 40001, 40500, 10**9, 33000]
+    docs = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n long").withColumn("text", F.lit(""))
+    rows = length_packing.packed(docs, 5, 10**6, F.col("n")).collect()
+    assert sum(r.padding for r in rows) == least_padding(lengths, 5) == 2
 
 
 def test_word_count_as_python(odd):
@@ -326,6 +331,36 @@ def test_rare_suffixes_tell_languages(spark):
     assert found[1001].language == "de" and german[1001] / (1 - german[1001]) > 10 * german[1000] / (1 - german[1000])
 
 
+def test_fusion_by_hand(spark):
+    rnd = random.Random(4)
+    say = {"en": "the of and that is with from have", "de": "der die und nicht mit von sich auch", "fr": "le la les des que dans pour avec", "es": "el los las que para por como pero"}
+    hosts = ["a.x.de", "b.x.de", "c.y.com", "y.com", None, "d.fr"]
+    rows = [(i, " ".join(rnd.choices(say[lang := rnd.choice(list(say))].split(), k=rnd.choice([0, 2, 9]))), rnd.choice([lang, lang, None, "it"]), rnd.choice(hosts)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r.doc_id: r for r in language_id.identified(docs, "doc_id", F.col("text"), F.col("lang"), F.col("source")).collect()}
+    given = language_id.evidence(docs, "doc_id", F.col("text"), F.col("lang"), F.col("source"))
+    log, n = language_id.text_scores(pa.array([r[1] for r in rows]), language_id.text_model(given, len(rows)))
+    soft = np.where(n[:, None] > 0, language_id.posterior(log), 0.0)
+    host = [(r[3] or "").lower() for r in rows]
+    domain = [".".join(h.split(".")[-2:]) for h in host]
+    suffix = [h.rpartition(".")[2] if "." in h else "" for h in host]
+    m = language_id.SMOOTH
+    overall = (soft.sum(0) + 1) / (soft.sum() + soft.shape[1])
+    total = lambda keys, key: soft[[k == key for k in keys]].sum(0)
+    for i in range(len(rows)):
+        d, h = total(domain, domain[i]), total(host, host[i])
+        want = log[i] + np.log((h + m * (d + m * overall) / (d.sum() + m)) / (h.sum() + m))
+        for keys in ([r[2] or "" for r in rows], suffix):
+            if keys[i]:
+                named = total([bool(k) for k in keys], True)
+                of = total(keys, keys[i])
+                want = want + np.log((of + m * (of.sum() / named.sum() + 1e-9)) / (named + m))
+        p = language_id.posterior(want[None])[0]
+        names = [*language_id.LANGUAGES, language_id.OTHER]
+        assert abs(found[i].probability - p.max()) < 1e-6
+        assert found[i].language == (names[int(p.argmax())] if n[i] else "und")
+
+
 def test_page_evidence(spark):
     html = "<!DOCTYPE html><HTML class=x lang='de-AT'><script>var a='<b>';</script><body><!-- x --><p>Guten <b>Tag</b></p></body></html>"
     row = spark.createDataFrame([(html,), (None,)], "h string").select(language_id.html_text(F.col("h")).alias("t"), language_id.html_language(F.col("h")).alias("l")).collect()
@@ -358,6 +393,43 @@ def test_learns_from_positives_and_unlabelled():
     assert (score[y == 1] >= 0.7).mean() > 0.9 and (score[y == 0] >= 0.7).mean() < 0.01
 
 
+def test_risk_by_hand():
+    rnd = np.random.default_rng(0)
+    soft = lambda z: float(np.log1p(np.exp(z)))
+    for _ in range(20):
+        p, u, prior = rnd.normal(0, 2, 7), rnd.normal(-2, 2, 11), float(rnd.uniform(0.05, 0.6))
+        of_negative = sum(map(soft, u)) / 11 - prior * sum(map(soft, p)) / 7
+        assert abs(toxicity.risk(p, u, prior) - (prior * sum(soft(-z) for z in p) / 7 + max(0.0, of_negative))) < 1e-9
+
+
+def test_fit_is_the_least_risk():
+    rows = toxic_corpus(5, 900)
+    x = toxicity.features(pa.array([t for t, y in rows if y][:90]), pa.array([t for t, _ in rows]))
+    use, w, bias = toxicity.fitted(x, 0.15, toxicity.SETTINGS[0], 2000)
+    texts = [t.split() for t, y in rows if y][:90]
+    assert x.n == (90, 900) and len(texts) == 90 and (w >= 0).all()
+    least = toxicity.risk(*toxicity.outputs(x, use, w, bias), 0.15)
+    rnd = np.random.default_rng(1)
+    for _ in range(50):
+        other = np.maximum(w + rnd.normal(0, 0.3, len(w)), 0)
+        assert toxicity.risk(*toxicity.outputs(x, use, other, bias + rnd.normal(0, 0.3)), 0.15) > least - 5e-3
+
+
+def test_settings_come_from_the_training_texts():
+    rows = toxic_corpus(6, 900)
+    x = toxicity.features(pa.array([t for t, y in rows if y][:90]), pa.array([t for t, _ in rows]))
+    best = toxicity.best_setting(x, 0.15)
+    assert best in toxicity.SETTINGS and best == toxicity.best_setting(x, 0.15)
+    assert toxicity.best_setting(x._replace(n=(3, 900)), 0.15) == toxicity.SETTINGS[0]
+
+
+def test_long_texts_do_not_train(spark):
+    rows = [(i, t + " filler" * (2000 if i % 5 == 0 else 0)) for i, (t, _) in enumerate(toxic_corpus(7, 300))]
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(toxic_corpus(7, 300))], "doc_id long, toxic int")
+    model = toxicity.learned(spark.createDataFrame(rows, DOCS), labels, longest=5000, most_bytes=200_000)
+    assert toxicity.scored(spark.createDataFrame(rows, DOCS), model).count() == 300
+
+
 def test_toxic_rows_without_an_id(spark):
     rows = [(None if i % 4 == 0 else i, text, toxic) for i, (text, toxic) in enumerate(toxic_corpus(3, 1500))]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
@@ -420,6 +492,17 @@ def test_packed_ids_are_lossless(spark, odd, empty, both):
     assert token_output.pack_digests(token_output.packed_ids(odd, PATH, PATTERN)).count() > 0
 
 
+def test_packs_do_not_depend_on_partitions(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choices(["alpha", "beta", "gamma"], k=rnd.choice([1, 10, 60, 500])))) for i in range(200)] + [(5, "same words " * 40)] * 50
+    docs = spark.createDataFrame(rows, DOCS)
+    packs = [sorted(map(repr, token_output.packed_ids(docs.repartition(n), PATH, PATTERN, width=128, group_tokens=4000).collect())) for n in (1, 7)]
+    assert packs[0] == packs[1]
+    mixed = spark.createDataFrame([(i, "word " * rnd.randrange(1, 100)) for i in range(400)], DOCS)
+    found = token_output.packed_ids(mixed, PATH, PATTERN, width=128).collect()
+    assert sum(r.n_tokens for r in found) > 0.98 * 128 * (len(found) - 1)
+
+
 # joins on hot keys
 
 
