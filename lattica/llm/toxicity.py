@@ -23,6 +23,8 @@ from lattica.llm.tables import digest_of, without, written
 
 #: Texts that a model is trained on at most: confirmed ones, and unlabelled ones; the bytes of them together, and of one.
 MOST_POSITIVE, MOST_UNLABELLED, MOST_BYTES, LONGEST = 3000, 9000, 64 << 20, 1 << 20
+#: Bytes of text that the driver works on at once.
+DRIVER_SLICE = 1 << 17
 #: Positives that a word must be in to be looked at.
 LEAST_TEXTS = 3
 #: Lengths in bytes of the beginnings of longer words that are features as well.
@@ -48,10 +50,10 @@ class Setting(NamedTuple):
 SETTINGS = [Setting(surprise, slack, stems) for stems in (True, False) for slack in (1.5, 4.0) for surprise in (20.0, 10.0, 40.0)]
 
 
-def word_sets(column: pa.Array, beginnings: tuple[int, ...] = BEGINNINGS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_sets(column: pa.Array, beginnings: tuple[int, ...] = BEGINNINGS, most: int = tv.SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a column: first row, rows, and the sorted distinct (row, hash) of words and their beginnings."""
     data, at = tv.buffers(column)
-    for i, j in tv.slices(at):
+    for i, j in tv.slices(at, most):
         part = data[at[i] : at[j]]
         row, start, end = tv.spans(part, at[i : j + 1] - at[i], tv.NO_LETTER)
         rows, starts, ends, kinds = [row], [start], [end], [np.zeros(len(row), np.uint64)]
@@ -114,22 +116,38 @@ class Features(NamedTuple):
         return self._replace(parts=parts, n=tuple(int(u.sum()) for u in rows))
 
 
-def features(positive: pa.Array, unlabelled: pa.Array) -> Features:
-    own = [(first + row, word) for first, _, row, word in word_sets(positive)]
-    vocabulary, count = np.unique(np.concatenate([w for _, w in own] or [np.zeros(0, np.uint64)]), return_counts=True)
-    vocabulary = vocabulary[count >= LEAST_TEXTS]
-    whole = np.unique(np.concatenate([w for *_, w in word_sets(positive, ())] or [np.zeros(0, np.uint64)]))
+def features(positive: pa.Array, unlabelled: pa.Array, prior: float) -> Features:
+    """In small slices, so that the driver holds little, and without words that are in few positives or far too common.
 
-    def known(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Slice by slice, so that words never seen in positives take no memory."""
-        out = [(np.zeros(0, np.int32), np.zeros(0, np.int32))]
-        for first, _, row, word in word_sets(column):
+    Too common: in over twice as many unlabelled texts as any setting allows for a feature, and ten.
+    """
+
+    def often(beginnings: tuple[int, ...]) -> np.ndarray:
+        """Sorted words of at least LEAST_TEXTS positives; counters by hash first tell those that can't be."""
+        counters = np.zeros(1 << 20, np.uint32)
+        for *_, word in word_sets(positive, beginnings, DRIVER_SLICE):
+            np.add.at(counters, (word >> np.uint64(44)).astype(np.int64), np.uint32(1))
+        kept = [word[counters[(word >> np.uint64(44)).astype(np.int64)] >= LEAST_TEXTS] for *_, word in word_sets(positive, beginnings, DRIVER_SLICE)]
+        names, count = np.unique(np.concatenate([*kept, np.zeros(0, np.uint64)]), return_counts=True)
+        return names[count >= LEAST_TEXTS]
+
+    vocabulary, whole = often(BEGINNINGS), often(())
+
+    def known(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for first, _, row, word in word_sets(column, most=DRIVER_SLICE):
             at = np.minimum(np.searchsorted(vocabulary, word), max(len(vocabulary) - 1, 0))
             hit = vocabulary[at] == word if len(vocabulary) else np.zeros(len(word), bool)
-            out.append(((first + row[hit]).astype(np.int32), at[hit].astype(np.int32)))
-        return tuple(map(np.concatenate, zip(*out)))
+            yield (first + row[hit]).astype(np.int32), at[hit].astype(np.int32)
 
-    return Features(vocabulary, ~np.isin(vocabulary, whole), [known(positive), known(unlabelled)], (len(positive), len(unlabelled)))
+    n, counts = (len(positive), len(unlabelled)), [np.zeros(len(vocabulary)), np.zeros(len(vocabulary))]
+    for count, column in zip(counts, (positive, unlabelled)):
+        for _, f in known(column):
+            np.add.at(count, f, 1)
+    pure = counts[0] / n[0] * prior * n[1]
+    vocabulary = vocabulary[counts[1] < 10 + 2 * (max(x.slack for x in SETTINGS) * pure + 2 * np.sqrt(pure))]
+    none = np.zeros(0, np.int32)
+    parts = [tuple(map(np.concatenate, zip((none, none), *known(column)))) for column in (positive, unlabelled)]
+    return Features(vocabulary, ~np.isin(vocabulary, whole), parts, n)
 
 
 def chosen(x: Features, prior: float, setting: Setting) -> np.ndarray:
@@ -208,7 +226,7 @@ def train(positive: pa.Array, unlabelled: pa.Array, prior: float, steps: int = 8
     flat = Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
     if not len(positive) or not len(unlabelled):
         return flat
-    x = features(positive, unlabelled)
+    x = features(positive, unlabelled, prior)
     use, w, bias = fitted(x, prior, best_setting(x, prior), steps)
     return Model(x.vocabulary[use], w, bias) if len(use) else flat
 

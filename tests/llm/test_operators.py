@@ -404,7 +404,7 @@ def test_risk_by_hand():
 
 def test_fit_is_the_least_risk():
     rows = toxic_corpus(5, 900)
-    x = toxicity.features(pa.array([t for t, y in rows if y][:90]), pa.array([t for t, _ in rows]))
+    x = toxicity.features(pa.array([t for t, y in rows if y][:90]), pa.array([t for t, _ in rows]), 0.15)
     use, w, bias = toxicity.fitted(x, 0.15, toxicity.SETTINGS[0], 2000)
     texts = [t.split() for t, y in rows if y][:90]
     assert x.n == (90, 900) and len(texts) == 90 and (w >= 0).all()
@@ -417,7 +417,7 @@ def test_fit_is_the_least_risk():
 
 def test_settings_come_from_the_training_texts():
     rows = toxic_corpus(6, 900)
-    x = toxicity.features(pa.array([t for t, y in rows if y][:90]), pa.array([t for t, _ in rows]))
+    x = toxicity.features(pa.array([t for t, y in rows if y][:90]), pa.array([t for t, _ in rows]), 0.15)
     best = toxicity.best_setting(x, 0.15)
     assert best in toxicity.SETTINGS and best == toxicity.best_setting(x, 0.15)
     assert toxicity.best_setting(x._replace(n=(3, 900)), 0.15) == toxicity.SETTINGS[0]
