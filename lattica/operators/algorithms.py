@@ -19,17 +19,22 @@ def degrees(nodes: DataFrame, edges: DataFrame, direction: str = "both") -> Data
     return nodes.select("id").distinct().join(found, "id", "left").fillna(0, ["degree"])
 
 
+#: Units in which flows are added up.
+UNITS = 1e11
+
+
 def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, save_every: int = 5) -> DataFrame:
     """id, score after a fixed number of rounds from 1: score = (1 - d) + d * sum of score / out-degree over in-links.
 
-    Parallel edges count once as in-links but each towards the out-degree; what flows into sinks is lost.
+    Parallel edges count once as in-links but each towards the out-degree; what flows into sinks is lost. What a link
+    carries is rounded to whole 1e-11, so sums don't depend on their order.
     """
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     links = saved(edges.select("src", "dst").distinct().join(out, "src"), "links")
     nodes = saved(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "nodes")
     scores = nodes.withColumn("score", F.lit(1.0))
     for i in range(1, iterations + 1):
-        flow = links.join(scores.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("out")).alias("flow"))
+        flow = links.join(scores.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg((F.sum(F.round(F.col("score") / F.col("out") * UNITS).cast("long")) / UNITS).alias("flow"))
         scores = nodes.join(flow, "id", "left").select("id", ((1 - damping) + damping * F.coalesce("flow", F.lit(0.0))).alias("score"))
         if i % save_every == 0 and i < iterations:
             scores = saved(scores, "scores")

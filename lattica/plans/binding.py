@@ -36,7 +36,9 @@ VIEWS: dict[str, str] = {
     "trial": """SELECT concat('T:', o_orderkey) AS id, o_orderkey AS key, concat('D:', o_custkey) AS disease, o_custkey AS sponsor_key, o_orderdate AS start_date,
         CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'Phase 1' WHEN '2' THEN 'Phase 2' WHEN '3' THEN 'Phase 3' WHEN '4' THEN 'Phase 4' ELSE 'N/A' END AS phase,
         CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'P' THEN 'Terminated' ELSE 'Recruiting' END AS status,
-        CAST(floor(o_totalprice / 250) AS INT) AS enrollment, o_totalprice > 300000 AS endpoint_met, CAST(year(o_orderdate) AS INT) AS start_year FROM {orders}""",
+        CAST(floor(o_totalprice / 250) AS INT) AS enrollment, o_totalprice > 300000 AS endpoint_met, CAST(year(o_orderdate) AS INT) AS start_year,
+        CASE o_orderkey % 3 WHEN 0 THEN 'Interventional' WHEN 1 THEN 'Observational' ELSE 'Expanded Access' END AS study_type,
+        CASE WHEN o_orderstatus <> 'O' THEN o_orderdate + INTERVAL 1 DAY * CAST(90 + o_orderkey % 700 AS INT) END AS completed_on FROM {orders}""",
     "trial_compound": """SELECT DISTINCT concat('T:', l_orderkey) AS trial, concat('P:', l_partkey) AS compound FROM {lineitem}""",
     "site": """SELECT concat('T:', o_orderkey) AS trial, concat('N:', n_nationkey) AS id, n_name AS country, r_name AS region FROM {orders} JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nationkey = c_nationkey JOIN {region} ON r_regionkey = n_regionkey""",
     "adverse_event": """SELECT event_id AS key, concat('T:', event_id % 1500) AS trial, concat('U:', user_id) AS subject, concat('P:', event_id % 200) AS compound, concat('D:', user_id % 100) AS disease,
@@ -44,19 +46,25 @@ VIEWS: dict[str, str] = {
     "signal": """SELECT concat('SG:', event_id) AS id, concat('P:', event_id % 200) AS compound, concat('D:', user_id % 100) AS disease, CASE WHEN value < 20 THEN 'under_review' WHEN value < 60 THEN 'confirmed' WHEN value < 150 THEN 'monitoring' ELSE 'rejected' END AS status, ts AS detected FROM {events} WHERE event_type = 'view' AND event_id % 5 = 0""",
     "manufacturer": """SELECT concat('M:', s_suppkey) AS id, s_suppkey AS key, s_name AS name, n_name AS country, r_name AS region, s_acctbal AS rating FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey JOIN {region} ON r_regionkey = n_regionkey""",
     "product": """SELECT DISTINCT concat('P:', l_partkey) AS product, concat('M:', l_suppkey) AS manufacturer FROM {lineitem} WHERE l_linenumber <= 2""",
-    "inspection": """SELECT concat('I:', event_id) AS id, concat('M:', user_id % 100) AS manufacturer, CASE WHEN value > 60 THEN 'FAILED' ELSE 'PASSED' END AS result, ts AS inspected, event_id % 3 AS agency FROM {events} WHERE event_type = 'purchase'""",
+    "inspection": """SELECT concat('I:', event_id) AS id, concat('M:', user_id % 100) AS manufacturer, CASE WHEN value > 60 THEN 'FAILED' ELSE 'PASSED' END AS result, ts AS inspected, event_id % 3 AS agency,
+        CASE event_id % 4 WHEN 0 THEN 'routine' WHEN 1 THEN 'for_cause' WHEN 2 THEN 'pre_approval' ELSE 'surveillance' END AS kind FROM {events} WHERE event_type = 'purchase'""",
     "shortage": """SELECT concat('SH:', event_id) AS id, concat('P:', event_id % 200) AS product, concat('M:', user_id % 100) AS manufacturer, ts AS start_date, CASE WHEN value >= 50 THEN ts + INTERVAL 10 DAY END AS end_date,
+        CASE event_id % 4 WHEN 0 THEN 'manufacturing_delay' WHEN 1 THEN 'demand_increase' WHEN 2 THEN 'raw_material' ELSE 'discontinuation' END AS reason,
         CASE WHEN value < 20 THEN 'low' WHEN value < 60 THEN 'medium' WHEN value < 120 THEN 'high' ELSE 'critical' END AS impact, CASE WHEN value < 50 THEN 'active' ELSE 'resolved' END AS status FROM {events} WHERE event_type = 'signup'""",
     "submission": """SELECT concat('SB:', o_orderkey) AS id, o_orderkey AS key, concat('A:', o_custkey % 5) AS agency, o_orderdate AS submitted, CAST(year(o_orderdate) AS INT) AS submitted_year,
-        CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'NDA' WHEN '2' THEN 'BLA' WHEN '3' THEN 'ANDA' WHEN '4' THEN 'sNDA' ELSE 'OTHER' END AS kind, concat('P:', o_orderkey % 200) AS product, o_orderstatus AS state FROM {orders}""",
-    "approval": """SELECT concat('AP:', o_orderkey) AS id, concat('SB:', o_orderkey) AS submission, o_orderdate + INTERVAL 300 DAY AS approved_on, concat('P:', o_orderkey % 200) AS product, CASE WHEN o_totalprice > 400000 THEN 'withdrawn' ELSE 'approved' END AS status FROM {orders} WHERE o_orderstatus = 'F' AND o_totalprice > 100000""",
+        CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'NDA' WHEN '2' THEN 'BLA' WHEN '3' THEN 'ANDA' WHEN '4' THEN 'sNDA' ELSE 'OTHER' END AS kind, concat('P:', o_orderkey % 200) AS product, o_orderstatus AS state,
+        CASE WHEN o_totalprice > 250000 THEN 'priority' ELSE 'standard' END AS review_priority FROM {orders}""",
+    "approval": """SELECT concat('AP:', o_orderkey) AS id, concat('SB:', o_orderkey) AS submission, o_orderdate + INTERVAL 1 DAY * CAST(100 + o_orderkey % 500 AS INT) AS approved_on, concat('P:', o_orderkey % 200) AS product,
+        CASE o_orderkey % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'accelerated' WHEN 2 THEN 'conditional' ELSE 'tentative' END AS kind,
+        CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate + INTERVAL 1 DAY * CAST(2000 + o_orderkey % 1500 AS INT) END AS expires_on, CASE WHEN o_totalprice > 400000 THEN 'withdrawn' ELSE 'approved' END AS status FROM {orders} WHERE o_orderstatus = 'F' AND o_totalprice > 100000""",
     "document": """SELECT doc_id AS key, source AS agency, lang, n_chars, text FROM {documents}""",
     "node": """SELECT id, 'Compound' AS label, name FROM {compound} UNION ALL SELECT id, 'Target', name FROM {target} UNION ALL SELECT id, 'Disease', name FROM {disease}
         UNION ALL SELECT id, 'Manufacturer', name FROM {manufacturer} UNION ALL SELECT id, 'ClinicalTrial', phase FROM {trial} UNION ALL SELECT id, 'SafetySignal', status FROM {signal}""",
     "edge": """SELECT compound AS src, target AS dst, rel FROM {acts_on} UNION ALL SELECT target, disease, rel FROM {associated} UNION ALL SELECT compound, disease, 'TREATS' FROM {treats}
         UNION ALL SELECT trial, compound, 'TESTS' FROM {trial_compound} UNION ALL SELECT product, manufacturer, 'MANUFACTURED_BY' FROM {product} UNION ALL SELECT compound, id, 'HAS_SIGNAL' FROM {signal}""",
-    # a small part of the graph for paths: one target type, strong inhibitors
-    "link": """SELECT compound AS src, target AS dst, rel FROM {acts_on} WHERE rel = 'INHIBITS' AND strength >= 45 UNION ALL SELECT target, pathway, 'PARTICIPATES_IN' FROM {pathway_target}""",
+    # the whole graph for paths and algorithms, and its layer of compounds, targets and pathways
+    "layer": """SELECT compound AS src, target AS dst, rel FROM {acts_on} UNION ALL SELECT target, pathway, 'PARTICIPATES_IN' FROM {pathway_target}""",
+    "link": """SELECT src, dst, rel FROM {edge} UNION ALL SELECT target, pathway, 'PARTICIPATES_IN' FROM {pathway_target}""",
 }
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lattica.functions.cypher import asc, cases, day, desc, rate
 from lattica.plans.binding import Graph
@@ -23,18 +24,24 @@ DISTRIBUTIONS = {
     "cl_q7_2_severities": ("adverse_event", "severity"),
     "cl_q8_2_site_countries": ("site", "country"),
     "cl_q10_2_trials_by_sponsor": ("trial", "sponsor_key"),
-    "cl_q15_2_trials_by_year": ("trial", "start_year"),
+    "cl_trials_by_start_year": ("trial", "start_year"),
     "sc_q1_3_manufacturer_countries": ("manufacturer", "country"),
-    "sc_q2_2_shortage_impacts": ("shortage", "impact"),
+    "sc_q2_2_shortage_reasons": ("shortage", "reason"),
+    "sc_shortage_impacts": ("shortage", "impact"),
+    "cl_q1_4_study_types": ("trial", "study_type"),
+    "sc_q4_5_review_priorities": ("submission", "review_priority"),
+    "sc_q5_2_approval_kinds": ("approval", "kind"),
+    "sc_q7_2_inspection_kinds": ("inspection", "kind"),
+    "sc_q12_agencies": ("submission", "agency"),
     "sc_q2_4_shortages_by_maker": ("shortage", "manufacturer"),
     "sc_q4_2_submission_kinds": ("submission", "kind"),
     "sc_q4_3_submission_states": ("submission", "state"),
     "sc_q5_3_approval_statuses": ("approval", "status"),
     "sc_q7_3_inspection_results": ("inspection", "result"),
-    "sc_q7_2_inspections_by_agency": ("inspection", "agency"),
+    "sc_inspections_by_agency": ("inspection", "agency"),
     "sc_q10_3_signal_statuses": ("signal", "status"),
     "sc_q10_5_signals_by_drug": ("signal", "compound"),
-    "api_16_documents_by_language": ("document", "lang"),
+    "documents_by_language": ("document", "lang"),
     "rd_q8_1_targets_by_compounds": ("acts_on", "target"),
 }
 
@@ -44,7 +51,7 @@ LISTS = {
     "rd_q1_4_targets_of_type": ("target", "target_type = 'enzyme'", ["id", "name"], ["name", "id"], 1000),
     "rd_q3_1_activity_range": ("acts_on", "ic50 >= 2000 AND ic50 <= 3000", ["compound", "target", "rel", "ic50"], ["ic50", "compound", "target", "rel"], 100),
     "rd_q3_2_potent": ("acts_on", "rel = 'INHIBITS' AND ic50 < 1500", ["compound", "target", "ic50"], ["ic50", "compound", "target"], 1000),
-    "rd_q3_4_good_assays": ("acts_on", "n >= 3", ["compound", "target", "rel", "n"], ["compound", "target", "rel"], 1000),
+    "rd_repeated_assays": ("acts_on", "n >= 3", ["compound", "target", "rel", "n"], ["compound", "target", "rel"], 1000),
     "rd_q5_2_diseases_of_target": ("associated", "target = 'S:2'", ["disease", "evidence_level"], ["disease"], 1000),
     "cl_q2_3_recruiting": ("trial", "status = 'Recruiting'", ["id", "phase", "enrollment"], ["enrollment", "id"], 100),
     "cl_q7_3_serious": ("adverse_event", "serious", ["key", "trial", "term"], ["key"], 500),
@@ -55,9 +62,18 @@ LISTS = {
     "sc_q4_6_priority": ("submission", "kind IN ('NDA', 'BLA') AND agency = 'A:1'", ["id", "kind"], ["id"], 200),
     "sc_q5_4_active_approvals": ("approval", "status = 'approved'", ["id", "product"], ["id"], 200),
     "sc_q7_4_failed_inspections": ("inspection", "result = 'FAILED'", ["id", "manufacturer"], ["id"], 500),
-    "sc_q10_4_confirmed_signals": ("signal", "status = 'confirmed'", ["id", "compound"], ["id"], 500),
-    "rd_q9_1_missing_level": ("associated", "evidence_level IS NULL", ["target", "disease"], ["target", "disease"], 200),
-    "sc_q13_4_open_shortages": ("shortage", "end_date IS NULL", ["id", "product"], ["id"], 200),
+    "sc_confirmed_signals": ("signal", "status = 'confirmed'", ["id", "compound"], ["id"], 500),
+    "sc_q10_4_signals_under_review": ("signal", "status = 'under_review'", ["id", "compound", "disease"], ["id"], 500),
+    "cl_q2_2_trials_of_phase": ("trial", "phase = 'Phase 2'", ["id", "status", "enrollment"], ["id"], 500),
+    "cl_q2_4_recent_trials": ("trial", "start_date >= TIMESTAMP '2001-07-02'", ["id", "phase", "status"], ["id"], 500),
+    "cl_q13_2_trials_missing_dates": ("trial", "completed_on IS NULL", ["id", "status"], ["id"], 500),
+    "cl_q7_4_events_by_term": ("adverse_event", "term = 'error'", ["key", "trial", "severity"], ["key"], 500),
+    "sc_q5_5_approvals_expiring": ("approval", "expires_on >= TIMESTAMP '2001-08-01' AND expires_on <= TIMESTAMP '2002-01-28'", ["id", "product"], ["id"], 500),
+    "sc_q5_6_accelerated": ("approval", "kind = 'accelerated'", ["id", "product"], ["id"], 500),
+    "sc_q7_5_for_cause": ("inspection", "kind = 'for_cause'", ["id", "manufacturer", "result"], ["id"], 500),
+    "sc_q13_4_active_without_expiry": ("approval", "status = 'approved' AND expires_on IS NULL", ["id", "product"], ["id"], 500),
+    "rd_missing_evidence_level": ("associated", "evidence_level IS NULL", ["target", "disease"], ["target", "disease"], 200),
+    "sc_open_shortages": ("shortage", "end_date IS NULL", ["id", "product"], ["id"], 200),
     "rd_q13_2_batch_lookup": ("compound", "id IN ('P:1', 'P:5', 'P:9', 'P:77', 'P:none')", ["id", "name", "stage"], ["id"], 100),
 }
 
@@ -67,18 +83,18 @@ GROUPS = {
     "rd_q2_4_few_targets": ("pathway_target", "target", "pathway", 2),
     "rd_q7_2_hubs": ("acts_on", "target", "compound", 100),
     "cl_q5_3_drug_usage": ("trial_compound", "compound", "trial", 20),
-    "cl_q6_3_frequent_terms": ("adverse_event", "subject", "term", 2),
-    "cl_q16_2_networks": ("treats", "compound", "disease", 15),
+    "cl_subjects_terms": ("adverse_event", "subject", "term", 2),
+    "rd_compounds_by_diseases": ("treats", "compound", "disease", 15),
     "sc_q11_4_products_per_maker": ("product", "manufacturer", "product", 50),
 }
 
 #: name: (view, key, value, digits) - count, mean, least and greatest of a value by key.
 SUMMARIES = {
-    "cl_q4_3_baseline": ("trial", "phase", "enrollment", 2),
-    "cl_q12_1_designs": ("trial", "status", "enrollment", 2),
-    "sc_q12_1_ratings": ("manufacturer", "region", "rating", 2),
-    "rd_q6_3_activities": ("acts_on", "rel", "strength", 4),
-    "rd_q11_4_weights": ("compound", "class", "weight", 2),
+    "cl_enrollment_by_phase": ("trial", "phase", "enrollment", 2),
+    "cl_enrollment_by_status": ("trial", "status", "enrollment", 2),
+    "sc_ratings_by_region": ("manufacturer", "region", "rating", 2),
+    "rd_strength_by_type": ("acts_on", "rel", "strength", 4),
+    "rd_weight_by_class": ("compound", "class", "weight", 2),
 }
 
 
@@ -182,10 +198,84 @@ def durations(g: Graph) -> DataFrame:
     return g.shortage.filter("end_date IS NOT NULL").groupBy("impact").agg(F.count("*").alias("n"), F.round(F.avg(F.datediff("end_date", "start_date")), 2).alias("days"))
 
 
-@query("sc_q6_3_review_buckets", "SELECT CASE WHEN key % 400 < 100 THEN 'fast' WHEN key % 400 < 300 THEN 'standard' ELSE 'slow' END AS bucket, count(*) AS n FROM submission GROUP BY ALL")
+def _reviews(g: Graph) -> DataFrame:
+    """Submissions with their approval's day count."""
+    a = g.approval.select(F.col("submission").alias("id"), "approved_on")
+    return g.submission.join(a, "id").withColumn("days", F.datediff("approved_on", "submitted"))
+
+
+_REVIEWS = "(SELECT s.*, date_diff('day', s.submitted, a.approved_on) AS days FROM submission s JOIN approval a ON a.submission = s.id)"
+
+
+@query("sc_q6_3_review_buckets", f"SELECT kind, CASE WHEN days < 180 THEN 'fast' WHEN days < 365 THEN 'standard' ELSE 'slow' END AS bucket, count(*) AS n FROM {_REVIEWS} GROUP BY ALL")
 def review_buckets(g: Graph) -> DataFrame:
-    days = F.col("key") % 400
-    return g.submission.groupBy(cases([(days < 100, "fast"), (days < 300, "standard")], "slow").alias("bucket")).agg(F.count("*").alias("n"))
+    """Reviews of each submission type by the days they took."""
+    days = F.col("days")
+    return _reviews(g).groupBy("kind", cases([(days < 180, "fast"), (days < 365, "standard")], "slow").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("sc_q6_1_review_time", f"SELECT count(*) AS n, round(avg(days), 2)::DOUBLE AS days, min(days) AS least, max(days) AS greatest FROM {_REVIEWS}")
+def review_time(g: Graph) -> DataFrame:
+    return _reviews(g).agg(F.count("*").alias("n"), F.round(F.avg("days"), 2).alias("days"), F.min("days").cast("long").alias("least"), F.max("days").cast("long").alias("greatest"))
+
+
+@query("sc_q12_1_review_efficiency", f"SELECT kind, review_priority, count(*) AS n, round(avg(days), 2)::DOUBLE AS days FROM {_REVIEWS} GROUP BY ALL")
+def review_efficiency(g: Graph) -> DataFrame:
+    """Mean review time by submission type and priority."""
+    return _reviews(g).groupBy("kind", "review_priority").agg(F.count("*").alias("n"), F.round(F.avg("days"), 2).alias("days"))
+
+
+def _by_year(name: str, view: str, day_column: str) -> None:
+    @query(name, f"SELECT CAST(year({day_column}) AS INT) AS year, count(*) AS n FROM {view} WHERE {day_column} IS NOT NULL GROUP BY ALL")
+    def run(g: Graph) -> DataFrame:
+        return getattr(g, view).filter(f"{day_column} IS NOT NULL").groupBy(F.year(day_column).alias("year")).agg(F.count("*").alias("n"))
+
+
+for _name, _spec in {"cl_q15_2_completions_by_year": ("trial", "completed_on"), "sc_q6_2_approvals_by_year": ("approval", "approved_on"), "sc_q15_2_shortages_by_year": ("shortage", "start_date")}.items():
+    _by_year(_name, *_spec)
+
+
+@query("sc_q15_1_submissions_by_month", "SELECT submitted_year AS year, CAST(month(submitted) AS INT) AS month, count(*) AS n FROM submission GROUP BY ALL")
+def submissions_by_month(g: Graph) -> DataFrame:
+    return g.submission.groupBy(F.col("submitted_year").alias("year"), F.month("submitted").alias("month")).agg(F.count("*").alias("n"))
+
+
+@query("cl_q11_2_duration_by_phase", "SELECT phase, count(*) AS n, round(avg(date_diff('day', start_date, completed_on)), 2)::DOUBLE AS days FROM trial WHERE completed_on IS NOT NULL GROUP BY phase")
+def duration_by_phase(g: Graph) -> DataFrame:
+    return g.trial.filter("completed_on IS NOT NULL").groupBy("phase").agg(F.count("*").alias("n"), F.round(F.avg(F.datediff("completed_on", "start_date")), 2).alias("days"))
+
+
+@query("cl_q11_1_completion_status", "SELECT phase, status, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY phase), 2)::DOUBLE AS share FROM trial GROUP BY phase, status")
+def completion_status(g: Graph) -> DataFrame:
+    """How the trials of each phase stand; the window runs over a few counts, not over trials."""
+    n = g.trial.groupBy("phase", "status").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("phase")), 2))
+
+
+@query("cl_q14_2_serious_rate", "SELECT t.phase, count(e.key) AS events, count(CASE WHEN e.serious THEN 1 END) AS serious, round(count(CASE WHEN e.serious THEN 1 END) * 100.0 / count(e.key), 2)::DOUBLE AS serious_rate FROM trial t JOIN adverse_event e ON e.trial = t.id GROUP BY t.phase")
+def serious_rate(g: Graph) -> DataFrame:
+    """The share of serious events by phase."""
+    e = g.adverse_event.groupBy(F.col("trial").alias("id")).agg(F.count("*").alias("events"), F.count_if("serious").alias("serious"))
+    n = g.trial.select("id", "phase").join(e, "id").groupBy("phase").agg(F.sum("events").alias("events"), F.sum("serious").alias("serious"))
+    return n.withColumn("serious_rate", rate(F.col("serious"), F.col("events")))
+
+
+@query("cl_q12_2_same_intervention", "SELECT DISTINCT b.trial FROM trial_compound a JOIN trial_compound b ON b.compound = a.compound AND b.trial <> a.trial WHERE a.trial = 'T:1'")
+def same_intervention(g: Graph) -> DataFrame:
+    """Trials that test a compound of a given trial."""
+    own = g.trial_compound.filter("trial = 'T:1'").select("compound")
+    return g.trial_compound.filter("trial <> 'T:1'").join(own, "compound", "left_semi").select("trial").distinct()
+
+
+@query("rd_q4_2_pathways_of_target", "SELECT pathway, rel FROM pathway_target WHERE target = 'S:3'")
+def pathways_of_target(g: Graph) -> DataFrame:
+    return g.pathway_target.filter("target = 'S:3'").select("pathway", "rel")
+
+
+@query("rd_q4_3_pathway_diseases", "SELECT p.pathway, count(DISTINCT a.disease) AS diseases FROM pathway_target p JOIN associated a ON a.target = p.target GROUP BY p.pathway")
+def pathway_diseases(g: Graph) -> DataFrame:
+    p = g.pathway_target.select("pathway", "target").distinct()
+    return g.associated.select("target", "disease").join(p, "target").groupBy("pathway").agg(F.count_distinct("disease").alias("diseases"))
 
 
 @query(

@@ -30,7 +30,7 @@ def rul_1(g: Graph) -> DataFrame:
 
 @query(
     "rul_2_confirmed_risk",
-    """SELECT s.compound, s.disease, least(0.95, round(0.5 + 0.1 * count(DISTINCT e.key), 2)) AS confidence FROM (SELECT DISTINCT compound, disease FROM signal) s JOIN adverse_event e ON e.compound = s.compound AND e.disease = s.disease WHERE e.serious GROUP BY ALL HAVING count(DISTINCT e.key) >= 1""",
+    """SELECT s.compound, s.disease, least(0.95, round(0.5 + 0.1 * count(DISTINCT e.key), 2))::DOUBLE AS confidence FROM (SELECT DISTINCT compound, disease FROM signal) s JOIN adverse_event e ON e.compound = s.compound AND e.disease = s.disease WHERE e.serious GROUP BY ALL HAVING count(DISTINCT e.key) >= 1""",
 )
 def rul_2(g: Graph) -> DataFrame:
     """Serious events with the condition of a signal confirm a risk. The bound is 1 here, as the bound tables are thin."""
@@ -38,7 +38,7 @@ def rul_2(g: Graph) -> DataFrame:
     return g.signal.select("compound", "disease").distinct().join(e, ["compound", "disease"]).select("compound", "disease", F.least(F.lit(0.95), F.round(0.5 + 0.1 * F.col("n"), 2)).alias("confidence"))
 
 
-@query("rul_3_quality_issue", "SELECT manufacturer, count(*) AS failed, least(0.9, round(0.4 + 0.15 * count(*), 2)) AS confidence FROM inspection WHERE result = 'FAILED' GROUP BY manufacturer HAVING count(*) >= 2")
+@query("rul_3_quality_issue", "SELECT manufacturer, count(*) AS failed, least(0.9, round(0.4 + 0.15 * count(*), 2))::DOUBLE AS confidence FROM inspection WHERE result = 'FAILED' GROUP BY manufacturer HAVING count(*) >= 2")
 def rul_3(g: Graph) -> DataFrame:
     """Two failed inspections or more: a potential quality issue."""
     n = g.inspection.filter("result = 'FAILED'").groupBy("manufacturer").agg(F.count("*").alias("failed")).filter("failed >= 2")
@@ -233,7 +233,7 @@ def _shared_targets(g: Graph, seed: str) -> DataFrame:
 
 @query(
     "inf_3_interactions",
-    """SELECT b.id AS other, coalesce(s.shared, 0) AS shared, round(greatest(least(0.2 * coalesce(s.shared, 0), 1.0), CASE WHEN substring(a.inchikey, 1, 14) = substring(b.inchikey, 1, 14) THEN 0.8 WHEN substring(a.inchikey, 1, 7) = substring(b.inchikey, 1, 7) THEN 0.64 ELSE 0.0 END), 3) AS score
+    """SELECT b.id AS other, coalesce(s.shared, 0) AS shared, round(greatest(least(0.2 * coalesce(s.shared, 0), 1.0), CASE WHEN substring(a.inchikey, 1, 14) = substring(b.inchikey, 1, 14) THEN 0.8 WHEN substring(a.inchikey, 1, 7) = substring(b.inchikey, 1, 7) THEN 0.64 ELSE 0.0 END), 3)::DOUBLE AS score
     FROM compound a JOIN compound b ON b.id <> a.id LEFT JOIN (SELECT y.compound, count(DISTINCT y.target) AS shared FROM acts_on x JOIN acts_on y ON y.target = x.target AND y.compound <> x.compound WHERE x.compound = 'P:3' GROUP BY y.compound) s ON s.compound = b.id WHERE a.id = 'P:3'""",
 )
 def inf_3(g: Graph) -> DataFrame:
@@ -247,7 +247,7 @@ def inf_3(g: Graph) -> DataFrame:
 
 @query(
     "inf_5_indications",
-    """SELECT d.id AS disease, round(greatest(CASE WHEN t.disease IS NOT NULL THEN 1.0 ELSE 0.0 END, least(0.15 * coalesce(p.n, 0), 0.9)), 3) AS score,
+    """SELECT d.id AS disease, round(greatest(CASE WHEN t.disease IS NOT NULL THEN 1.0 ELSE 0.0 END, least(0.15 * coalesce(p.n, 0), 0.9)), 3)::DOUBLE AS score,
         CASE WHEN greatest(CASE WHEN t.disease IS NOT NULL THEN 1.0 ELSE 0.0 END, least(0.15 * coalesce(p.n, 0), 0.9)) > 0.3 THEN 'POTENTIAL' ELSE 'UNLIKELY' END AS verdict
     FROM disease d LEFT JOIN (SELECT disease FROM treats WHERE compound = 'P:3') t ON t.disease = d.id LEFT JOIN (SELECT a.disease, count(DISTINCT a.target) AS n FROM acts_on c JOIN associated a ON a.target = c.target WHERE c.compound = 'P:3' GROUP BY a.disease) p ON p.disease = d.id""",
 )
@@ -263,7 +263,7 @@ def inf_5(g: Graph) -> DataFrame:
 
 @query(
     "inf_6_target_disease",
-    """SELECT a.target, t.disease, round(least(0.25 * count(DISTINCT a.compound), 0.8), 2) AS score FROM acts_on a JOIN treats t ON t.compound = a.compound WHERE a.target = 'S:6' AND NOT EXISTS (SELECT 1 FROM associated k WHERE k.target = a.target AND k.disease = t.disease) GROUP BY ALL""",
+    """SELECT a.target, t.disease, round(least(0.25 * count(DISTINCT a.compound), 0.8), 2)::DOUBLE AS score FROM acts_on a JOIN treats t ON t.compound = a.compound WHERE a.target = 'S:6' AND NOT EXISTS (SELECT 1 FROM associated k WHERE k.target = a.target AND k.disease = t.disease) GROUP BY ALL""",
 )
 def inf_6(g: Graph) -> DataFrame:
     """Diseases that a target's compounds treat."""
@@ -294,7 +294,7 @@ def prd_3(g: Graph) -> DataFrame:
 
 @query(
     "prd_1_repurposing_ensemble",
-    """SELECT compound, max(confidence) AS confidence, string_agg(method, ',' ORDER BY method) AS methods FROM (
+    """SELECT compound, max(confidence)::DOUBLE AS confidence, string_agg(method, ',' ORDER BY method) AS methods FROM (
         SELECT DISTINCT c.compound, 0.7 AS confidence, 'target' AS method FROM acts_on c JOIN associated a ON a.target = c.target WHERE a.disease = 'D:10' AND c.strength >= 30
         UNION ALL SELECT compound, least(0.5 + 0.1 * n, 0.95), 'similar' FROM (SELECT y.compound, count(DISTINCT y.target) AS n FROM treats t JOIN acts_on x ON x.compound = t.compound JOIN acts_on y ON y.target = x.target AND y.compound <> x.compound WHERE t.disease = 'D:10' AND x.strength >= 45 AND y.strength >= 45 GROUP BY y.compound)) GROUP BY compound""",
 )
