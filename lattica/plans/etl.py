@@ -11,9 +11,9 @@ from lattica.plans.binding import Graph
 from lattica.plans.registry import query
 
 
-@query("nrm_1_text", r"SELECT doc_id, nullif(trim(regexp_replace(left(text, 300), '[ \t\n\x0b\f\r]+', ' ', 'g')), '') AS clean FROM documents")
+@query("nrm_1_text", r"SELECT doc_id, nullif(trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')), '') AS clean FROM documents")
 def nrm_1(g: Graph) -> DataFrame:
-    return g.documents.select("doc_id", normalise.text(F.left("text", F.lit(300))).alias("clean"))
+    return g.documents.select("doc_id", normalise.text(F.col("text")).alias("clean"))
 
 
 @query(
@@ -103,7 +103,7 @@ def idm_4(g: Graph) -> DataFrame:
 
 @query(
     "idm_7_repair",
-    """SELECT CASE event_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'loose' ELSE 'none' END AS how, count(*) AS n FROM events WHERE event_id < 6000 AND user_id < (SELECT count(*) FROM supplier) GROUP BY ALL""",
+    """SELECT CASE event_id % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'loose' ELSE 'none' END AS how, count(*) AS n FROM events WHERE user_id < (SELECT count(*) FROM supplier) GROUP BY ALL""",
 )
 def idm_7(g: Graph) -> DataFrame:
     """Edges that name their nodes exactly, loosely or not at all."""
@@ -111,7 +111,7 @@ def idm_7(g: Graph) -> DataFrame:
     k = F.col("event_id") % 3
     name = F.when(k == 0, F.concat(F.lit("FEI_"), "user_id")).when(k == 1, F.concat(F.lit("fei__"), "user_id", F.lit(" "))).otherwise(F.concat(F.lit("unknown "), "user_id"))
     least = g.supplier.agg(F.count("*").alias("suppliers"))
-    edges = g.events.filter("event_id < 6000").join(F.broadcast(least)).filter("user_id < suppliers").select("event_id", name.alias("dst"))
+    edges = g.events.join(F.broadcast(least)).filter("user_id < suppliers").select("event_id", name.alias("dst"))
     return records.repaired(edges, nodes, "dst").groupBy("how").agg(F.count("*").alias("n"))
 
 
