@@ -57,6 +57,14 @@ VIEWS: dict[str, str] = {
     "approval": """SELECT concat('AP:', o_orderkey) AS id, concat('SB:', o_orderkey) AS submission, o_orderdate + INTERVAL 1 DAY * CAST(100 + o_orderkey % 500 AS INT) AS approved_on, concat('P:', o_orderkey % 200) AS product,
         CASE o_orderkey % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'accelerated' WHEN 2 THEN 'conditional' ELSE 'tentative' END AS kind,
         CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate + INTERVAL 1 DAY * CAST(2000 + o_orderkey % 1500 AS INT) END AS expires_on, CASE WHEN o_totalprice > 400000 THEN 'withdrawn' ELSE 'approved' END AS status FROM {orders} WHERE o_orderstatus = 'F' AND o_totalprice > 100000""",
+    # subjects in trials and their arms, actions against makers, and commitments made at an approval
+    "participation": """SELECT concat('U:', l_partkey) AS subject, concat('T:', l_orderkey) AS trial, concat('T:', l_orderkey, '/', l_linenumber % 2) AS arm,
+        CASE WHEN l_returnflag = 'R' THEN 'WITHDREW_FROM' WHEN l_linestatus = 'F' THEN 'COMPLETED_TRIAL' ELSE 'ENROLLED_IN' END AS rel FROM {lineitem}""",
+    "action": """SELECT concat('CA:', l_orderkey, '/', l_linenumber, '/', l_partkey) AS id, concat('M:', l_suppkey) AS manufacturer, concat('P:', l_partkey) AS product, l_shipdate AS issued, l_linestatus = 'O' AS active,
+        CASE l_linenumber WHEN 1 THEN 'recall' WHEN 2 THEN 'warning' WHEN 3 THEN 'penalty' WHEN 4 THEN 'suspension' ELSE 'notice' END AS kind, l_extendedprice AS amount FROM {lineitem} WHERE l_returnflag = 'R'""",
+    "commitment": """SELECT concat('PC:', o_orderkey) AS id, concat('AP:', o_orderkey) AS approval, concat('P:', o_orderkey % 200) AS product, o_orderdate + INTERVAL 1 DAY * CAST(900 + o_orderkey % 800 AS INT) AS due,
+        CASE o_orderkey % 3 WHEN 0 THEN 'safety_study' WHEN 1 THEN 'efficacy_study' ELSE 'paediatric_study' END AS kind, CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'fulfilled' WHEN '2' THEN 'delayed' ELSE 'pending' END AS status,
+        CASE WHEN o_orderkey % 9 > 0 THEN o_orderpriority END AS description FROM {orders} WHERE o_orderstatus = 'F' AND o_totalprice > 100000""",
     "document": """SELECT doc_id AS key, source AS agency, lang, n_chars, text FROM {documents}""",
     "node": """SELECT id, 'Compound' AS label, name FROM {compound} UNION ALL SELECT id, 'Target', name FROM {target} UNION ALL SELECT id, 'Disease', name FROM {disease}
         UNION ALL SELECT id, 'Manufacturer', name FROM {manufacturer} UNION ALL SELECT id, 'ClinicalTrial', phase FROM {trial} UNION ALL SELECT id, 'SafetySignal', status FROM {signal}""",
