@@ -18,8 +18,8 @@ _POTENCY = "CASE WHEN ic50 < 10000 THEN 'potent' WHEN ic50 < 30000 THEN 'moderat
 
 def repurposing(g: Graph, compound: str, least_level: str = "C", limit: int = 50) -> DataFrame:
     """Diseases that a compound's targets are associated with but that it doesn't treat yet, best evidence first."""
-    hits = g.acts_on.filter((F.col("compound") == compound) & F.col("rel").isin(MECHANISMS))
-    known = g.treats.filter(F.col("compound") == compound)
+    hits = g.at("acts_on", "compound", compound).filter(F.col("rel").isin(MECHANISMS))
+    known = g.at("treats", "compound", compound)
     found = hits.select("compound", "target", F.col("rel").alias("mechanism"), "strength").join(g.associated.select("target", "disease", "evidence_level"), "target")
     found = found.join(known, ["compound", "disease"], "left_anti").withColumn("score", evidence_score(F.col("evidence_level")))
     found = found.filter(F.col("score") >= evidence_score(F.lit(least_level)))
@@ -50,8 +50,8 @@ def adv_1(g: Graph) -> DataFrame:
 )
 def adv_2(g: Graph) -> DataFrame:
     """Compounds that inhibit a target of a disease but don't treat it."""
-    a = g.associated.filter("disease = 'D:7'").select("target", "disease", "evidence_level")
-    c = g.acts_on.filter("rel = 'INHIBITS'").join(F.broadcast(a), "target").join(g.treats, ["compound", "disease"], "left_anti")
+    a = g.at("associated", "disease", "D:7").select("target", "disease", "evidence_level")
+    c = g.acts_on.filter("rel = 'INHIBITS'").join(a, "target").join(g.treats, ["compound", "disease"], "left_anti")
     ic50 = F.col("ic50")
     potency = cases([(ic50 < 10000, "potent"), (ic50 < 30000, "moderate"), (ic50.isNotNull(), "weak")], "unknown")
     rows = c.select("compound", "target", F.col("rel").alias("mechanism"), evidence_score(F.col("evidence_level")).alias("score"), potency.alias("potency")).distinct()
@@ -67,10 +67,10 @@ def adv_2(g: Graph) -> DataFrame:
 )
 def adv_3(g: Graph) -> DataFrame:
     """Compounds that share targets in pathways with a given one, by how many they share."""
-    own = g.acts_on.filter("compound = 'P:3'").select("target").distinct()
+    own = g.at("acts_on", "compound", "P:3").select("target").distinct()
     others = g.acts_on.filter("compound <> 'P:3'").select(F.col("compound").alias("partner"), "target").distinct()
     n = F.count_distinct("target")
-    rows = others.join(F.broadcast(own), "target").join(g.pathway_target, "target").groupBy("partner").agg(n.alias("shared_targets"), F.count_distinct("pathway").alias("pathways"), cases([(n >= 3, "high"), (n >= 2, "moderate")], "low").alias("synergy"))
+    rows = others.join(own, "target").join(g.pathway_target, "target").groupBy("partner").agg(n.alias("shared_targets"), F.count_distinct("pathway").alias("pathways"), cases([(n >= 3, "high"), (n >= 2, "moderate")], "low").alias("synergy"))
     return rows.orderBy(desc("shared_targets"), asc("partner")).limit(30)
 
 
@@ -96,8 +96,8 @@ def adv_4(g: Graph) -> DataFrame:
 )
 def adv_5(g: Graph) -> DataFrame:
     """Compounds that treat a disease with developer and targets, those nearest to the market first."""
-    t = g.treats.filter("disease = 'D:11'").select("compound")
-    targets = g.acts_on.join(F.broadcast(t), "compound", "left_semi").groupBy("compound").agg(F.count_distinct("target").alias("targets"))
+    t = g.at("treats", "disease", "D:11").select("compound")
+    targets = g.acts_on.join(t, "compound", "left_semi").groupBy("compound").agg(F.count_distinct("target").alias("targets"))
     c = g.compound.select(F.col("id").alias("compound"), "name", "stage", F.col("family").alias("developer"))
     rank = lookup(F.col("stage"), {"approved": 1, "in_review": 2, "phase_3": 3}, 4)
     return t.join(c, "compound").join(targets, "compound", "left").select("compound", "name", "stage", "developer", F.coalesce("targets", F.lit(0)).alias("targets"), rank.alias("rank")).orderBy("rank", asc("compound")).limit(100)
@@ -157,8 +157,8 @@ def adv_7_common(g: Graph) -> DataFrame:
 )
 def adv_9(g: Graph) -> DataFrame:
     """Safety of all that acts on a target, by compound and mechanism."""
-    a = g.acts_on.filter("target = 'S:5'").select("compound", F.col("rel").alias("mechanism")).distinct()
-    own = F.broadcast(a.select("compound").distinct())
+    a = g.at("acts_on", "target", "S:5").select("compound", F.col("rel").alias("mechanism")).distinct()
+    own = a.select("compound").distinct()
     trials = g.trial_compound.join(own, "compound", "left_semi").groupBy("compound").agg(F.count("trial").alias("trials"))
     events = g.adverse_event.groupBy("compound").agg(F.count("key").alias("events"), F.count_if("serious").alias("serious"))
     signals = g.signal.groupBy("compound").agg(F.count("id").alias("signals"))
@@ -176,7 +176,7 @@ def adv_9(g: Graph) -> DataFrame:
 def adv_10(g: Graph) -> DataFrame:
     """What depends on each manufacturer of a country: products, those in shortage, and others that make them."""
     own = g.manufacturer.filter("country = 'NATION_7'").select(F.col("id").alias("manufacturer"))
-    made = g.product.join(F.broadcast(own), "manufacturer")
+    made = g.product.join(own, "manufacturer")
     short = g.shortage.select("product").distinct().withColumn("short", F.lit(True))
     sums = made.join(short, "product", "left").groupBy("manufacturer").agg(F.count("product").alias("products"), F.count("short").alias("products_short"))
     others = made.join(g.product.select("product", F.col("manufacturer").alias("other")), "product").filter("other <> manufacturer").groupBy("manufacturer").agg(F.count_distinct("other").alias("also_made_by"))
@@ -191,8 +191,8 @@ def adv_10(g: Graph) -> DataFrame:
 def adv_11(g: Graph) -> DataFrame:
     """What the shortages of one product touch: diseases treated, their summed prevalence, and makers."""
     short = g.shortage.filter("product = 'P:9'").groupBy("product").agg(F.count("id").alias("shortages"))
-    d = g.treats.filter("compound = 'P:9'").join(g.disease, F.col("disease") == F.col("id")).groupBy(F.col("compound").alias("product")).agg(F.count("disease").alias("diseases"), F.sum_distinct("prevalence").alias("exposure"))
-    m = g.product.filter("product = 'P:9'").groupBy("product").agg(F.count("manufacturer").alias("makers"))
+    d = g.at("treats", "compound", "P:9").join(g.disease, F.col("disease") == F.col("id")).groupBy(F.col("compound").alias("product")).agg(F.count("disease").alias("diseases"), F.sum_distinct("prevalence").alias("exposure"))
+    m = g.at("product", "product", "P:9").groupBy("product").agg(F.count("manufacturer").alias("makers"))
     out = short.join(d, "product", "left").join(m, "product", "left")
     return out.select("product", "shortages", F.coalesce("diseases", F.lit(0)).alias("diseases"), F.round(F.coalesce("exposure", F.lit(0.0)), 2).alias("exposure"), F.coalesce("makers", F.lit(0)).alias("makers"))
 

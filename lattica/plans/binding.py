@@ -10,6 +10,7 @@ import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: All "now" in time-relative queries, so that results don't depend on the day.
 AS_OF = "2001-08-01"
@@ -75,6 +76,23 @@ VIEWS: dict[str, str] = {
     "link": """SELECT src, dst, rel FROM {edge} UNION ALL SELECT target, pathway, 'PARTICIPATES_IN' FROM {pathway_target}""",
 }
 
+#: (view, column of ids): the table and its numeric key that the ids are made of.
+KEYS = {
+    ("acts_on", "compound"): ("lineitem", "l_partkey"),
+    ("acts_on", "target"): ("lineitem", "l_suppkey"),
+    ("treats", "compound"): ("lineitem", "l_partkey"),
+    ("treats", "disease"): ("orders", "o_custkey"),
+    ("associated", "target"): ("lineitem", "l_suppkey"),
+    ("associated", "disease"): ("orders", "o_custkey"),
+    ("trial_compound", "compound"): ("lineitem", "l_partkey"),
+    ("trial_compound", "trial"): ("lineitem", "l_orderkey"),
+    ("pathway_target", "target"): ("supplier", "s_suppkey"),
+    ("product", "product"): ("lineitem", "l_partkey"),
+    ("product", "manufacturer"): ("lineitem", "l_suppkey"),
+    ("action", "manufacturer"): ("lineitem", "l_suppkey"),
+    ("participation", "subject"): ("lineitem", "l_partkey"),
+}
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -96,6 +114,14 @@ class Graph:
                 self._made[name] = self.spark.sql(VIEWS[name], **{u: getattr(self, u) for u in uses})
         return self._made[name]
 
+    def at(self, view: str, column: str, node: str) -> DataFrame:
+        """The rows of a view for one node: its numeric key is compared in the table, so that the scan can skip by it."""
+        table, key = KEYS[view, column]
+        number = re.fullmatch(r"[A-Z]+:(\d{1,18})", node)
+        own = getattr(self, table).filter(F.col(key) == int(number[1]) if number else F.lit(False))
+        uses = set(re.findall(r"\{(\w+)\}", VIEWS[view]))
+        return self.spark.sql(VIEWS[view], **{u: own if u == table else getattr(self, u) for u in uses}).filter(F.col(column) == node)
+
     @cached_property
     def undirected(self) -> DataFrame:
         """Every edge both ways; a self-loop once."""

@@ -142,7 +142,7 @@ def crosstalk(g: Graph) -> DataFrame:
 
 @query("rd_q5_3_approved_for_disease", "SELECT t.disease, c.id, c.name FROM treats t JOIN compound c ON c.id = t.compound WHERE c.approved AND t.disease = 'D:11'")
 def approved_for(g: Graph) -> DataFrame:
-    own = F.broadcast(g.treats.filter("disease = 'D:11'").select("disease", F.col("compound").alias("id")))
+    own = g.at("treats", "disease", "D:11").select("disease", F.col("compound").alias("id"))
     return g.compound.filter("approved").join(own, "id").select("disease", "id", "name")
 
 
@@ -157,7 +157,7 @@ def scaffolds(g: Graph) -> DataFrame:
     "SELECT DISTINCT a.compound, p.pathway, d.disease FROM acts_on a JOIN pathway_target p ON p.target = a.target JOIN associated d ON d.target = a.target WHERE a.compound = 'P:12' AND d.evidence_level = 'A' AND p.rel = 'UPREGULATES'",
 )
 def four_steps(g: Graph) -> DataFrame:
-    a = F.broadcast(g.acts_on.filter("compound = 'P:12'").select("compound", "target").distinct())
+    a = g.at("acts_on", "compound", "P:12").select("compound", "target").distinct()
     p = g.pathway_target.filter("rel = 'UPREGULATES'").join(a, "target").select("compound", "target", "pathway")
     return p.join(g.associated.filter("evidence_level = 'A'"), "target").select("compound", "pathway", "disease").distinct()
 
@@ -263,13 +263,13 @@ def serious_rate(g: Graph) -> DataFrame:
 @query("cl_q12_2_same_intervention", "SELECT DISTINCT b.trial FROM trial_compound a JOIN trial_compound b ON b.compound = a.compound AND b.trial <> a.trial WHERE a.trial = 'T:1'")
 def same_intervention(g: Graph) -> DataFrame:
     """Trials that test a compound of a given trial."""
-    own = g.trial_compound.filter("trial = 'T:1'").select("compound")
+    own = g.at("trial_compound", "trial", "T:1").select("compound")
     return g.trial_compound.filter("trial <> 'T:1'").join(own, "compound", "left_semi").select("trial").distinct()
 
 
 @query("rd_q4_2_pathways_of_target", "SELECT pathway, rel FROM pathway_target WHERE target = 'S:3'")
 def pathways_of_target(g: Graph) -> DataFrame:
-    return g.pathway_target.filter("target = 'S:3'").select("pathway", "rel")
+    return g.at("pathway_target", "target", "S:3").select("pathway", "rel")
 
 
 @query("rd_q4_3_pathway_diseases", "SELECT p.pathway, count(DISTINCT a.disease) AS diseases FROM pathway_target p JOIN associated a ON a.target = p.target GROUP BY p.pathway")

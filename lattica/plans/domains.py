@@ -48,13 +48,13 @@ def rd_4(g: Graph) -> DataFrame:
 
 @query("rd_5_compound_targets", "SELECT a.target, t.name, t.target_type, a.rel, round(a.ic50, 2) AS ic50 FROM acts_on a JOIN target t ON t.id = a.target WHERE a.compound = 'P:17'")
 def rd_5(g: Graph) -> DataFrame:
-    a = g.acts_on.filter("compound = 'P:17'")
-    return F.broadcast(a).join(g.target.select(F.col("id").alias("target"), "name", "target_type"), "target").select("target", "name", "target_type", "rel", F.round("ic50", 2).alias("ic50"))
+    a = g.at("acts_on", "compound", "P:17")
+    return a.join(g.target.select(F.col("id").alias("target"), "name", "target_type"), "target").select("target", "name", "target_type", "rel", F.round("ic50", 2).alias("ic50"))
 
 
 @query("rd_6_target_compounds", "SELECT a.compound, c.name, a.rel, a.ic50 FROM acts_on a JOIN compound c ON c.id = a.compound WHERE a.target = 'S:4' ORDER BY ic50, compound, rel LIMIT 100")
 def rd_6(g: Graph) -> DataFrame:
-    a = g.acts_on.filter("target = 'S:4'").join(g.compound.select(F.col("id").alias("compound"), "name"), "compound")
+    a = g.at("acts_on", "target", "S:4").join(g.compound.select(F.col("id").alias("compound"), "name"), "compound")
     return a.select("compound", "name", "rel", "ic50").orderBy(asc("ic50"), asc("compound"), asc("rel")).limit(100)
 
 
@@ -82,7 +82,7 @@ def rd_10(g: Graph) -> DataFrame:
 
 @query("rd_11_sar", "SELECT compound, target, round(strength, 4) AS activity FROM acts_on WHERE rel = 'INHIBITS' AND target = 'S:8' ORDER BY activity DESC, compound LIMIT 200")
 def rd_11(g: Graph) -> DataFrame:
-    rows = g.acts_on.filter("rel = 'INHIBITS' AND target = 'S:8'").select("compound", "target", F.round("strength", 4).alias("activity"))
+    rows = g.at("acts_on", "target", "S:8").filter("rel = 'INHIBITS'").select("compound", "target", F.round("strength", 4).alias("activity"))
     return rows.orderBy(desc("activity"), asc("compound")).limit(200)
 
 
@@ -157,7 +157,7 @@ def sc_4(g: Graph) -> DataFrame:
 
 @query("sc_5_manufacturer_drugs", "SELECT manufacturer, product, name FROM product JOIN compound ON id = product WHERE manufacturer = 'M:3'")
 def sc_5(g: Graph) -> DataFrame:
-    return g.product.filter("manufacturer = 'M:3'").join(g.compound, F.col("product") == F.col("id")).select("manufacturer", "product", "name")
+    return g.at("product", "manufacturer", "M:3").join(g.compound, F.col("product") == F.col("id")).select("manufacturer", "product", "name")
 
 
 @query("sc_6_shortages", "SELECT id, product, impact, status, strftime(start_date, '%Y-%m-%d') AS day FROM shortage ORDER BY start_date DESC, id LIMIT 100")
@@ -225,7 +225,7 @@ def api_6(g: Graph) -> DataFrame:
 
 @query("api_7_drug_trials", "SELECT t.id, t.phase, t.status, strftime(t.start_date, '%Y-%m-%d') AS day FROM trial_compound c JOIN trial t ON t.id = c.trial WHERE c.compound = 'P:30' ORDER BY start_date DESC, id LIMIT 50")
 def api_7(g: Graph) -> DataFrame:
-    own = F.broadcast(g.trial_compound.filter("compound = 'P:30'").select(F.col("trial").alias("id")))
+    own = g.at("trial_compound", "compound", "P:30").select(F.col("trial").alias("id"))
     return g.trial.join(own, "id").orderBy(desc("start_date"), asc("id")).limit(50).select("id", "phase", "status", day("start_date"))
 
 

@@ -34,7 +34,7 @@ def adv_13(g: Graph) -> DataFrame:
 def adv_8(g: Graph) -> DataFrame:
     """Paths from a compound over its targets to diseases with a confirmed signal."""
     marked = g.signal.filter("status = 'confirmed'").select("disease").distinct()
-    a = g.acts_on.filter("compound = 'P:3'").select("compound", "target").distinct()
+    a = g.at("acts_on", "compound", "P:3").select("compound", "target").distinct()
     d = g.associated.select("target", "disease").distinct().join(marked, "disease", "left_semi")
     return a.join(d, "target").select(F.concat_ws(">", "compound", "target", "disease").alias("path"), F.lit(2).alias("length")).distinct()
 
@@ -116,7 +116,7 @@ def ga_12(g: Graph) -> DataFrame:
 
 @query("inf_1_common_neighbours", "SELECT b.compound AS other, count(DISTINCT b.target) AS common FROM acts_on a JOIN acts_on b ON b.target = a.target AND b.compound <> a.compound WHERE a.compound = 'P:8' GROUP BY b.compound ORDER BY common DESC, other LIMIT 100")
 def inf_1(g: Graph) -> DataFrame:
-    own = F.broadcast(g.acts_on.filter("compound = 'P:8'").select("target").distinct())
+    own = g.at("acts_on", "compound", "P:8").select("target").distinct()
     n = g.acts_on.filter("compound <> 'P:8'").select(F.col("compound").alias("other"), "target").distinct().join(own, "target")
     return n.groupBy("other").agg(F.count("*").alias("common")).orderBy(desc("common"), asc("other")).limit(100)
 

@@ -18,7 +18,7 @@ from lattica.plans.registry import query
 )
 def prd_2(g: Graph) -> DataFrame:
     """Serious events of compounds that share a target with a given one."""
-    own = F.broadcast(g.acts_on.filter("compound = 'P:3'").select("target").distinct())
+    own = g.at("acts_on", "compound", "P:3").select("target").distinct()
     others = g.acts_on.filter("compound <> 'P:3'").join(own, "target", "left_semi").select("compound").distinct()
     e = g.adverse_event.filter("serious").join(others, "compound", "left_semi").groupBy("term").agg(F.count("*").alias("freq"))
     return e.withColumn("confidence", F.round(F.least(0.3 + 0.1 * F.col("freq"), F.lit(0.8)), 2)).orderBy(desc("freq"), asc("term")).limit(20)
@@ -34,9 +34,9 @@ def prd_2(g: Graph) -> DataFrame:
 )
 def prd_4(g: Graph) -> DataFrame:
     """How effective a compound may be for each disease: the mean of what speaks for it at all."""
-    own = g.acts_on.filter("compound = 'P:5'")
-    t = g.associated.join(F.broadcast(own.select("target").distinct()), "target", "left_semi").groupBy("disease").agg(F.count_distinct("target").alias("t"))
-    like = g.acts_on.filter("rel = 'INHIBITS' AND strength >= 45 AND compound <> 'P:5'").join(F.broadcast(own.filter("rel = 'INHIBITS'").select("target").distinct()), "target", "left_semi").select("compound").distinct()
+    own = g.at("acts_on", "compound", "P:5")
+    t = g.associated.join(own.select("target").distinct(), "target", "left_semi").groupBy("disease").agg(F.count_distinct("target").alias("t"))
+    like = g.acts_on.filter("rel = 'INHIBITS' AND strength >= 45 AND compound <> 'P:5'").join(own.filter("rel = 'INHIBITS'").select("target").distinct(), "target", "left_semi").select("compound").distinct()
     k = g.treats.join(like, "compound", "left_semi").groupBy("disease").agg(F.count("compound").alias("k"))
     rows = g.disease.select(F.col("id").alias("disease")).join(t, "disease", "left").join(k, "disease", "left").fillna(0, ["t", "k"])
     parts = F.array(F.least(0.3 * F.col("t"), F.lit(0.9)), F.least(0.25 * F.col("k"), F.lit(0.8)))
@@ -56,20 +56,20 @@ def rsn_1(g: Graph) -> DataFrame:
 @query("rsn_6_mediators", "SELECT a.target AS mediator, count(*) AS links FROM acts_on a JOIN associated d ON d.target = a.target WHERE a.compound = 'P:3' GROUP BY a.target ORDER BY links DESC, mediator LIMIT 10")
 def rsn_6(g: Graph) -> DataFrame:
     """Targets that lie between a compound and diseases."""
-    a = F.broadcast(g.acts_on.filter("compound = 'P:3'").select("target"))
+    a = g.at("acts_on", "compound", "P:3").select("target")
     return g.associated.join(a, "target").groupBy(F.col("target").alias("mediator")).agg(F.count("*").alias("links")).orderBy(desc("links"), asc("mediator")).limit(10)
 
 
 @query("rsn_8_explanations", "SELECT DISTINCT a.compound || ' ' || a.rel || ' ' || a.target || ' ' || d.rel || ' ' || d.disease AS explanation FROM acts_on a JOIN associated d ON d.target = a.target WHERE a.compound = 'P:3' ORDER BY 1 LIMIT 50")
 def rsn_8(g: Graph) -> DataFrame:
     """Paths from a compound to diseases in words."""
-    a = F.broadcast(g.acts_on.filter("compound = 'P:3'").select("compound", F.col("rel").alias("first"), "target"))
+    a = g.at("acts_on", "compound", "P:3").select("compound", F.col("rel").alias("first"), "target")
     return g.associated.join(a, "target").select(F.concat_ws(" ", "compound", "first", "target", "rel", "disease").alias("explanation")).distinct().orderBy("explanation").limit(50)
 
 
 @query("inf_7_explained_interactions", "SELECT b.compound AS other, 'shares ' || count(DISTINCT b.target) || ' targets' AS reason FROM acts_on a JOIN acts_on b ON b.target = a.target AND b.compound <> a.compound WHERE a.compound = 'P:9' GROUP BY b.compound")
 def inf_7(g: Graph) -> DataFrame:
-    own = F.broadcast(g.acts_on.filter("compound = 'P:9'").select("target").distinct())
+    own = g.at("acts_on", "compound", "P:9").select("target").distinct()
     n = g.acts_on.filter("compound <> 'P:9'").join(own, "target", "left_semi").groupBy(F.col("compound").alias("other")).agg(F.count_distinct("target").alias("n"))
     return n.select("other", F.format_string("shares %d targets", "n").alias("reason"))
 

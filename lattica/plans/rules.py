@@ -59,7 +59,7 @@ def rul_4(g: Graph) -> DataFrame:
 )
 def rul_5(g: Graph) -> DataFrame:
     """Diseases that a compound may treat through the pathways of its targets."""
-    own = g.acts_on.filter("compound = 'P:40' AND strength >= 45").select("compound", "target")
+    own = g.at("acts_on", "compound", "P:40").filter("strength >= 45").select("compound", "target")
     p = g.pathway_target.select("target", "pathway")
     near = own.join(p, "target").join(p.select(F.col("target").alias("other"), "pathway"), "pathway").filter("other <> target").select("compound", F.col("other").alias("target")).distinct()
     found = near.join(g.associated.filter("confidence >= 0.9").select("target", "disease"), "target").select("compound", "disease").distinct()
@@ -227,8 +227,8 @@ def owl_1(g: Graph) -> DataFrame:
 
 
 def _shared_targets(g: Graph, seed: str) -> DataFrame:
-    own = g.acts_on.filter(F.col("compound") == seed).select("target").distinct()
-    return g.acts_on.filter(F.col("compound") != seed).select("compound", "target").distinct().join(F.broadcast(own), "target").groupBy("compound").agg(F.count("*").alias("shared"))
+    own = g.at("acts_on", "compound", seed).select("target").distinct()
+    return g.acts_on.filter(F.col("compound") != seed).select("compound", "target").distinct().join(own, "target").groupBy("compound").agg(F.count("*").alias("shared"))
 
 
 @query(
@@ -253,9 +253,9 @@ def inf_3(g: Graph) -> DataFrame:
 )
 def inf_5(g: Graph) -> DataFrame:
     """How likely a compound is indicated for each disease: known, or through its targets."""
-    known = g.treats.filter("compound = 'P:3'").select("disease", F.lit(1.0).alias("known"))
-    own = g.acts_on.filter("compound = 'P:3'").select("target").distinct()
-    paths = g.associated.join(F.broadcast(own), "target").groupBy("disease").agg(F.count_distinct("target").alias("n"))
+    known = g.at("treats", "compound", "P:3").select("disease", F.lit(1.0).alias("known"))
+    own = g.at("acts_on", "compound", "P:3").select("target").distinct()
+    paths = g.associated.join(own, "target").groupBy("disease").agg(F.count_distinct("target").alias("n"))
     rows = g.disease.select(F.col("id").alias("disease")).join(known, "disease", "left").join(paths, "disease", "left")
     score = F.greatest(F.coalesce("known", F.lit(0.0)), F.least(0.15 * F.coalesce("n", F.lit(0)), F.lit(0.9)))
     return rows.select("disease", F.round(score, 3).alias("score"), F.when(score > 0.3, "POTENTIAL").otherwise("UNLIKELY").alias("verdict"))
@@ -267,7 +267,7 @@ def inf_5(g: Graph) -> DataFrame:
 )
 def inf_6(g: Graph) -> DataFrame:
     """Diseases that a target's compounds treat."""
-    a = g.acts_on.filter("target = 'S:6'").select("target", "compound").distinct()
+    a = g.at("acts_on", "target", "S:6").select("target", "compound").distinct()
     found = a.join(g.treats, "compound").groupBy("target", "disease").agg(F.count("*").alias("n"))
     return without(found, g.associated, "target", "disease").select("target", "disease", F.round(F.least(0.25 * F.col("n"), F.lit(0.8)), 2).alias("score"))
 
@@ -300,11 +300,11 @@ def prd_3(g: Graph) -> DataFrame:
 )
 def prd_1(g: Graph) -> DataFrame:
     """Candidates for a disease by two methods: their best confidence and which methods found them."""
-    a = g.associated.filter("disease = 'D:10'").select("target").distinct()
-    direct = g.acts_on.filter("strength >= 30").join(F.broadcast(a), "target", "left_semi").select("compound").distinct().select("compound", F.lit(0.7).alias("confidence"), F.lit("target").alias("method"))
+    a = g.at("associated", "disease", "D:10").select("target").distinct()
+    direct = g.acts_on.filter("strength >= 30").join(a, "target", "left_semi").select("compound").distinct().select("compound", F.lit(0.7).alias("confidence"), F.lit("target").alias("method"))
     strong = g.acts_on.filter("strength >= 45").select("compound", "target").distinct()
-    known = g.treats.filter("disease = 'D:10'").select("compound")
-    x = strong.join(F.broadcast(known), "compound", "left_semi").select("target", F.col("compound").alias("from"))
+    known = g.at("treats", "disease", "D:10").select("compound")
+    x = strong.join(known, "compound", "left_semi").select("target", F.col("compound").alias("from"))
     similar = strong.join(x, "target").filter("compound <> `from`").groupBy("compound").agg(F.count_distinct("target").alias("n")).select("compound", F.least(0.5 + 0.1 * F.col("n"), F.lit(0.95)).alias("confidence"), F.lit("similar").alias("method"))
     return direct.unionByName(similar).groupBy("compound").agg(F.max("confidence").alias("confidence"), F.array_join(F.array_sort(F.collect_list("method")), ",").alias("methods"))
 

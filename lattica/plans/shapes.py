@@ -99,7 +99,7 @@ def cl_10(g: Graph) -> DataFrame:
 @query("cl_q3_4_subject_history", "SELECT p.trial, p.arm, p.rel, t.phase, strftime(t.start_date, '%Y-%m-%d') AS day FROM participation p JOIN trial t ON t.id = p.trial WHERE p.subject = 'U:12'")
 def subject_history(g: Graph) -> DataFrame:
     """The trials that a subject was in."""
-    own = g.participation.filter("subject = 'U:12'").select(F.col("trial").alias("id"), "arm", "rel")
+    own = g.at("participation", "subject", "U:12").select(F.col("trial").alias("id"), "arm", "rel")
     return g.trial.join(own, "id").select(F.col("id").alias("trial"), "arm", "rel", "phase", day("start_date"))
 
 
@@ -124,7 +124,7 @@ def status_by_year(g: Graph) -> DataFrame:
 @query("sc_9_manufacturer_actions", "SELECT id, product, kind, active, strftime(issued, '%Y-%m-%d') AS day FROM action WHERE manufacturer = 'M:3' ORDER BY issued DESC, id LIMIT 100")
 def sc_9(g: Graph) -> DataFrame:
     """Actions against one maker, the latest first."""
-    return g.action.filter("manufacturer = 'M:3'").orderBy(desc("issued"), asc("id")).limit(100).select("id", "product", "kind", "active", day("issued"))
+    return g.at("action", "manufacturer", "M:3").orderBy(desc("issued"), asc("id")).limit(100).select("id", "product", "kind", "active", day("issued"))
 
 
 @query("rg_10_actions", "SELECT a.id, a.kind, m.name, m.country, strftime(a.issued, '%Y-%m-%d') AS day FROM action a LEFT JOIN manufacturer m ON m.id = a.manufacturer WHERE a.active ORDER BY a.issued DESC, a.id LIMIT 100")
