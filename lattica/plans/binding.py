@@ -66,6 +66,27 @@ VIEWS: dict[str, str] = {
     "commitment": """SELECT concat('PC:', o_orderkey) AS id, concat('AP:', o_orderkey) AS approval, concat('P:', o_orderkey % 200) AS product, o_orderdate + INTERVAL 1 DAY * CAST(900 + o_orderkey % 800 AS INT) AS due,
         CASE o_orderkey % 3 WHEN 0 THEN 'safety_study' WHEN 1 THEN 'efficacy_study' ELSE 'paediatric_study' END AS kind, CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'fulfilled' WHEN '2' THEN 'delayed' ELSE 'pending' END AS status,
         CASE WHEN o_orderkey % 9 > 0 THEN o_orderpriority END AS description FROM {orders} WHERE o_orderstatus = 'F' AND o_totalprice > 100000""",
+    # what compounds, proteins, trials, people and makers are like; a part of the values is missing
+    "structure": """SELECT concat('P:', p_partkey) AS id, p_partkey AS key, p_name AS name, concat(p_type, '/', p_brand, '/', p_size) AS scaffold, CASE WHEN p_partkey % 11 > 0 THEN concat('C', p_size, 'O') END AS smiles,
+        CASE WHEN p_partkey % 13 > 0 THEN upper(substring(md5(p_name), 1, 14)) END AS inchikey, p_retailprice / 2 AS mass, p_size / CAST(7 AS DOUBLE) AS logp, p_partkey % 8 AS donors, p_partkey % 14 AS acceptors FROM {part}""",
+    "descent": """SELECT concat('P:', p_partkey) AS compound, concat('P:', CAST(floor(p_partkey / 3) AS BIGINT)) AS successor FROM {part} WHERE p_partkey > 0""",
+    "protein": """SELECT concat('S:', s_suppkey) AS id, s_name AS name, CASE WHEN s_suppkey % 7 > 0 THEN concat('UP', s_suppkey) END AS uniprot FROM {supplier}""",
+    "interaction": """SELECT concat('S:', a.l_suppkey) AS protein_a, concat('S:', b.l_suppkey) AS protein_b, count(*) AS score FROM {lineitem} a JOIN {lineitem} b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> b.l_suppkey GROUP BY a.l_suppkey, b.l_suppkey""",
+    "assay": """SELECT concat('P:', l_partkey) AS compound, concat('S:', l_suppkey) AS target, min(l_returnflag) AS rel, 1 - 3 * (max(l_quantity) - min(l_quantity) + 2) / (6 * avg(l_quantity)) AS z_factor,
+        CASE WHEN max(l_discount) > 0.01 THEN max(l_extendedprice) END AS activity FROM {lineitem} GROUP BY l_partkey, l_suppkey""",
+    "protocol": """SELECT concat('T:', o_orderkey) AS id, o_orderkey AS key, CASE WHEN o_orderkey % 17 > 0 THEN CAST(floor(o_totalprice / 25000) AS INT) END AS planned, CASE o_orderkey % 2 WHEN 0 THEN 'randomised' ELSE 'single_arm' END AS allocation,
+        CASE o_orderkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'double_blind' ELSE 'single_blind' END AS masking, CASE substring(o_orderpriority, 1, 1) WHEN '5' THEN 'prevention' ELSE 'treatment' END AS purpose FROM {orders}""",
+    "outcome": """SELECT DISTINCT concat('O:', l_suppkey) AS id, concat('T:', l_orderkey) AS trial, CASE l_linenumber WHEN 1 THEN 'primary' WHEN 2 THEN 'secondary' ELSE 'other' END AS kind,
+        CASE l_returnflag WHEN 'A' THEN 'overall survival' ELSE 'response rate' END AS measure FROM {lineitem} WHERE l_returnflag <> 'R'""",
+    "investigator": """SELECT DISTINCT concat('V:', l_suppkey) AS id, concat('T:', l_orderkey) AS trial, s_name AS name, CASE l_linenumber WHEN 1 THEN 'principal' ELSE 'sub' END AS position, n_name AS institution
+        FROM {lineitem} JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey WHERE l_linenumber <= 3""",
+    "sponsor": """SELECT c_custkey AS key, c_name AS name, CASE c_mktsegment WHEN 'BUILDING' THEN 'industry' WHEN 'HOUSEHOLD' THEN 'government' ELSE 'academic' END AS kind FROM {customer}""",
+    "person": """SELECT concat('U:', p_partkey) AS subject, CASE p_size % 2 WHEN 0 THEN 'female' ELSE 'male' END AS gender, 18 + p_size AS age FROM {part}""",
+    "maker": """SELECT concat('M:', s_suppkey) AS id, s_name AS name, CASE s_suppkey % 3 WHEN 0 THEN 'integrated' WHEN 1 THEN 'contract' ELSE 'virtual' END AS kind, CASE s_suppkey % 4 WHEN 0 THEN 'ingredient' WHEN 1 THEN 'excipient' ELSE 'packaging' END AS supplies,
+        CASE WHEN s_suppkey % 6 > 0 THEN concat('FEI', s_suppkey) END AS fei FROM {supplier}""",
+    "visit": """SELECT concat('I:', event_id) AS id, concat('M:', user_id) AS manufacturer, CASE WHEN event_id % 10 > 0 THEN CASE WHEN value > 60 THEN 'FAILED' ELSE 'PASSED' END END AS result, ts AS inspected FROM {events} WHERE event_type = 'purchase'""",
+    "authorisation": """SELECT concat('AP:', o_orderkey) AS id, concat('A:', o_custkey % 5) AS agency, o_orderstatus = 'F' AS granted, CASE WHEN o_orderkey % 19 > 0 THEN o_orderdate + INTERVAL 1 DAY * CAST(100 + o_orderkey % 500 AS INT) END AS granted_on, 100 + o_orderkey % 500 AS days FROM {orders}""",
+    "alert": """SELECT event_id AS key, CASE event_id % 3 WHEN 0 THEN 'hepatic' WHEN 1 THEN 'cardiac' ELSE 'renal' END AS kind FROM {events} WHERE event_type = 'view'""",
     "document": """SELECT doc_id AS key, source AS agency, lang, n_chars, text FROM {documents}""",
     "node": """SELECT id, 'Compound' AS label, name FROM {compound} UNION ALL SELECT id, 'Target', name FROM {target} UNION ALL SELECT id, 'Disease', name FROM {disease}
         UNION ALL SELECT id, 'Manufacturer', name FROM {manufacturer} UNION ALL SELECT id, 'ClinicalTrial', phase FROM {trial} UNION ALL SELECT id, 'SafetySignal', status FROM {signal}""",
@@ -91,6 +112,12 @@ KEYS = {
     ("product", "manufacturer"): ("lineitem", "l_suppkey"),
     ("action", "manufacturer"): ("lineitem", "l_suppkey"),
     ("participation", "subject"): ("lineitem", "l_partkey"),
+    ("participation", "trial"): ("lineitem", "l_orderkey"),
+    ("outcome", "trial"): ("lineitem", "l_orderkey"),
+    ("investigator", "trial"): ("lineitem", "l_orderkey"),
+    ("trial", "id"): ("orders", "o_orderkey"),
+    ("trial", "disease"): ("orders", "o_custkey"),
+    ("structure", "id"): ("part", "p_partkey"),
 }
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -42,10 +42,23 @@ DISTRIBUTIONS = {
     "sc_q10_3_signal_statuses": ("signal", "status"),
     "sc_q10_5_signals_by_drug": ("signal", "compound"),
     "documents_by_language": ("document", "lang"),
+    "sc_q1_2_maker_kinds": ("maker", "kind"),
+    "sc_q3_3_supplier_kinds": ("maker", "supplies"),
+    "cl_q10_3_sponsor_kinds": ("sponsor", "kind"),
+    "sc_q10_2_signal_kinds": ("alert", "kind"),
     "rd_q8_1_targets_by_compounds": ("acts_on", "target"),
 }
 
-#: name: (view, condition, columns, order, limit) - rows that fit, in a total order.
+#: name: view - how many rows there are.
+COUNTS = {
+    "rd_q1_2_count_targets": "target",
+    "sc_q7_1_count_inspections": "inspection",
+    "sc_q8_1_count_actions": "action",
+    "sc_q9_1_count_commitments": "commitment",
+    "sc_q10_1_count_signals": "signal",
+}
+
+#: name: (view, condition, columns, order, limit or None) - rows that fit, in a total order.
 LISTS = {
     "rd_q1_3_compounds_at_stage": ("compound", "stage = 'phase_3'", ["id", "name"], ["name", "id"], 1000),
     "rd_q1_4_targets_of_type": ("target", "target_type = 'enzyme'", ["id", "name"], ["name", "id"], 1000),
@@ -75,6 +88,22 @@ LISTS = {
     "rd_missing_evidence_level": ("associated", "evidence_level IS NULL", ["target", "disease"], ["target", "disease"], 200),
     "sc_open_shortages": ("shortage", "end_date IS NULL", ["id", "product"], ["id"], 200),
     "rd_q13_2_batch_lookup": ("compound", "id IN ('P:1', 'P:5', 'P:9', 'P:77', 'P:none')", ["id", "name", "stage"], ["id"], 100),
+    "rd_q3_4_good_assays": ("assay", "z_factor > 0.5", ["compound", "target", "rel"], ["compound", "target"], None),
+    "rd_q7_1_protein_network": ("interaction", "score >= 4", ["protein_a", "protein_b", "score"], ["score", "protein_a", "protein_b"], None),
+    "rd_q9_1_missing_smiles": ("structure", "smiles IS NULL", ["id", "name"], ["id"], 100),
+    "rd_q9_3_missing_uniprot": ("protein", "uniprot IS NULL", ["id", "name"], ["id"], 100),
+    "rd_q9_4_edges_without_activity": ("assay", "activity IS NULL", ["compound", "target", "rel"], ["compound", "target"], 100),
+    "cl_q6_2_outcomes_of_kind": ("outcome", "kind = 'secondary'", ["id", "trial", "measure"], ["id", "trial", "measure"], 100),
+    "cl_q12_3_same_endpoint": ("outcome", "kind = 'primary' AND measure LIKE '%survival%'", ["trial", "id", "measure"], ["trial", "id"], None),
+    "cl_q13_1_missing_enrollment": ("protocol", "planned IS NULL", ["id", "allocation"], ["id"], 100),
+    "sc_q1_4_integrated_makers": ("maker", "kind = 'integrated'", ["id", "name"], ["name", "id"], None),
+    "sc_q1_5_contract_makers": ("maker", "kind = 'contract'", ["id", "name"], ["name", "id"], None),
+    "sc_q3_1_ingredient_suppliers": ("maker", "supplies = 'ingredient'", ["id", "name"], ["name", "id"], None),
+    "sc_q3_2_excipient_suppliers": ("maker", "supplies = 'excipient'", ["id", "name"], ["name", "id"], None),
+    "sc_q8_3_active_actions": ("action", "active", ["id", "manufacturer", "kind", "issued"], ["issued", "id"], None),
+    "sc_q13_1_makers_without_fei": ("maker", "fei IS NULL", ["id", "name"], ["id"], 100),
+    "sc_q13_2_inspections_without_result": ("visit", "result IS NULL", ["id", "manufacturer"], ["id"], 100),
+    "sc_q13_3_approvals_without_date": ("authorisation", "granted AND granted_on IS NULL", ["id", "agency"], ["id"], 100),
 }
 
 #: name: (view, key, counted, least) - keys with at least so many different values.
@@ -86,6 +115,8 @@ GROUPS = {
     "cl_subjects_terms": ("adverse_event", "subject", "term", 2),
     "rd_compounds_by_diseases": ("treats", "compound", "disease", 15),
     "sc_q11_4_products_per_maker": ("product", "manufacturer", "product", 50),
+    "cl_q6_3_outcome_usage": ("outcome", "id", "trial", 3),
+    "cl_q9_3_investigators_by_institution": ("investigator", "institution", "id", 1),
 }
 
 #: name: (view, key, value, digits) - count, mean, least and greatest of a value by key.
@@ -104,10 +135,17 @@ def _distribution(name: str, view: str, key: str) -> None:
         return getattr(g, view).groupBy(F.col(key).cast("string").alias("value")).agg(F.count("*").alias("n"))
 
 
-def _list(name: str, view: str, where: str, columns: list[str], order: list[str], limit: int) -> None:
-    @query(name, f"SELECT {', '.join(columns)} FROM {view} WHERE {where} ORDER BY {', '.join(order)} LIMIT {limit}")
+def _list(name: str, view: str, where: str, columns: list[str], order: list[str], limit: int | None) -> None:
+    @query(name, f"SELECT {', '.join(columns)} FROM {view} WHERE {where} ORDER BY {', '.join(order)}" + (f" LIMIT {limit}" if limit else ""))
+    def run(g: Graph) -> DataFrame:
+        rows = getattr(g, view).filter(where).select(*columns).orderBy(*[asc(o) for o in order])
+        return rows.limit(limit) if limit else rows
+
+
+def _count(name: str, view: str) -> None:
+    @query(name, f"SELECT count(*) AS n FROM {view}")
     def run(g: Graph) -> DataFrame:
-        return getattr(g, view).filter(where).select(*columns).orderBy(*[asc(o) for o in order]).limit(limit)
+        return getattr(g, view).agg(F.count("*").alias("n"))
 
 
 def _group(name: str, view: str, key: str, counted: str, least: int) -> None:
@@ -124,6 +162,8 @@ def _summary(name: str, view: str, key: str, value: str, digits: int) -> None:
 
 for _name, _spec in DISTRIBUTIONS.items():
     _distribution(_name, *_spec)
+for _name, _view in COUNTS.items():
+    _count(_name, _view)
 for _name, _spec in LISTS.items():
     _list(_name, *_spec)
 for _name, _spec in GROUPS.items():
