@@ -116,3 +116,28 @@ def last_written(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
     """The row of every key that came last, as an insert-or-replace table would hold it."""
     r = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(sequence)))
     return rows.withColumn("_r", r).filter("_r = 1").drop("_r")
+
+
+def mapped(rows: DataFrame, fields: list[tuple[str, str, object, Callable[[Column], Column] | None]]) -> DataFrame:
+    """rows with fields (source, name, default, transform) only: null takes the default, what is given is transformed."""
+    out = []
+    for source, name, default, change in fields:
+        c = F.col(f"`{source}`")
+        c = c if change is None else change(c)
+        out.append((c if default is None else F.coalesce(c, F.lit(default))).alias(name))
+    return rows.select(*out)
+
+
+def merged(existing: DataFrame, new: DataFrame, key: str, on_create: dict[str, Column], on_match: dict[str, Column]) -> DataFrame:
+    """existing with the keys of new: on_match sets properties of those that are there, on_create of those that aren't."""
+    keys = new.select(key).distinct().withColumn("_new", F.lit(True))
+    both = existing.withColumn("_old", F.lit(True)).join(keys, key, "full_outer")
+    pick = []
+    for c in existing.columns:
+        own = F.col(c)
+        if c in on_match:
+            own = F.when(F.col("_old") & F.col("_new"), on_match[c]).otherwise(own)
+        if c in on_create:
+            own = F.when(F.col("_old").isNull(), on_create[c]).otherwise(own)
+        pick.append(own.alias(c))
+    return both.select(*pick)

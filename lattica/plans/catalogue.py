@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lattica.plans import advanced, aggregates, corpus, corpus_more, domains, etl, etl_more, graph_queries, predictions, rules, search, shapes, vectors
+from lattica.plans import advanced, aggregates, corpus, corpus_more, domains, etl, etl_more, etl_sources, graph_queries, predictions, rules, search, shapes, vectors
 from lattica.plans.registry import QUERIES, SQL
 
-MODULES = (advanced, aggregates, domains, rules, search, graph_queries, etl, etl_more, vectors, corpus, corpus_more, predictions, shapes)
+MODULES = (advanced, aggregates, domains, rules, search, graph_queries, etl, etl_more, etl_sources, vectors, corpus, corpus_more, predictions, shapes)
 
 
 def queries() -> dict:

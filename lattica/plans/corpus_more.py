@@ -71,10 +71,10 @@ def lookup_compound(g: Graph) -> DataFrame:
     return own.join(g.target.select(F.col("id").alias("target"), "name", "target_type"), "target")
 
 
-_PEOPLE = "SELECT DISTINCT p.subject, q.gender, q.age FROM participation p JOIN person q ON q.subject = p.subject WHERE p.trial = 'T:12'"
+_PEOPLE = "SELECT DISTINCT p.subject, q.gender, q.age FROM participation p JOIN person q ON q.subject = p.subject WHERE p.trial = 'T:20'"
 
 
-def people(g: Graph, trial: str = "T:12") -> DataFrame:
+def people(g: Graph, trial: str = "T:20") -> DataFrame:
     """The subjects of a trial, once each, with gender and age."""
     return g.person.join(g.at("participation", "trial", trial).select("subject"), "subject", "left_semi")
 
@@ -107,14 +107,14 @@ def interventions_of_class(g: Graph) -> DataFrame:
     return g.compound.filter(F.col("class") == "PROMO").select("id", "name").join(g.trial_compound.select(F.col("compound").alias("id")), "id", "left_semi")
 
 
-@query("cl_q6_1_endpoints", "SELECT id, kind, measure FROM outcome WHERE trial = 'T:12' ORDER BY kind, id")
+@query("cl_q6_1_endpoints", "SELECT id, kind, measure FROM outcome WHERE trial = 'T:20' ORDER BY kind, id")
 def endpoints(g: Graph) -> DataFrame:
-    return g.at("outcome", "trial", "T:12").select("id", "kind", "measure").orderBy("kind", "id", "measure")
+    return g.at("outcome", "trial", "T:20").select("id", "kind", "measure").orderBy("kind", "id", "measure")
 
 
-@query("cl_q7_1_events_of_trial", "SELECT key, term, severity, serious FROM adverse_event WHERE trial = 'T:12' ORDER BY severity DESC, key")
+@query("cl_q7_1_events_of_trial", "SELECT key, term, severity, serious FROM adverse_event WHERE trial = 'T:20' ORDER BY severity DESC, key")
 def events_of_trial(g: Graph) -> DataFrame:
-    return g.adverse_event.filter("trial = 'T:12'").select("key", "term", "severity", "serious").orderBy(desc("severity"), asc("key"))
+    return g.adverse_event.filter("trial = 'T:20'").select("key", "term", "severity", "serious").orderBy(desc("severity"), asc("key"))
 
 
 @query("cl_q8_4_active_sites", "SELECT s.id, s.country, count(*) AS trials FROM site s JOIN trial t ON t.id = s.trial WHERE t.status = 'Recruiting' GROUP BY ALL ORDER BY trials DESC, s.id")
@@ -124,9 +124,9 @@ def active_sites(g: Graph) -> DataFrame:
     return g.site.join(live, "trial", "left_semi").groupBy("id", "country").agg(F.count("*").alias("trials")).orderBy(desc("trials"), asc("id"))
 
 
-@query("cl_q9_1_investigators_of_trial", "SELECT id, name, position, institution FROM investigator WHERE trial = 'T:12' ORDER BY position, id")
+@query("cl_q9_1_investigators_of_trial", "SELECT id, name, position, institution FROM investigator WHERE trial = 'T:20' ORDER BY position, id")
 def investigators_of_trial(g: Graph) -> DataFrame:
-    return g.at("investigator", "trial", "T:12").select("id", "name", "position", "institution").orderBy("position", "id")
+    return g.at("investigator", "trial", "T:20").select("id", "name", "position", "institution").orderBy("position", "id")
 
 
 @query("cl_q9_2_principal_investigators", "SELECT id, name, institution, count(DISTINCT trial) AS trials FROM investigator WHERE position = 'principal' GROUP BY ALL ORDER BY trials DESC, id LIMIT 50")
@@ -135,9 +135,9 @@ def principal_investigators(g: Graph) -> DataFrame:
     return g.investigator.filter("position = 'principal'").groupBy("id", "name", "institution").agg(F.count("*").alias("trials")).orderBy(desc("trials"), asc("id")).limit(50)
 
 
-@query("cl_q10_1_sponsor_of_trial", "SELECT t.id, s.name, s.kind FROM trial t JOIN sponsor s ON s.key = t.sponsor_key WHERE t.id = 'T:12'")
+@query("cl_q10_1_sponsor_of_trial", "SELECT t.id, s.name, s.kind FROM trial t JOIN sponsor s ON s.key = t.sponsor_key WHERE t.id = 'T:20'")
 def sponsor_of_trial(g: Graph) -> DataFrame:
-    return g.at("trial", "id", "T:12").select("id", F.col("sponsor_key").alias("key")).join(g.sponsor, "key").select("id", "name", "kind")
+    return g.at("trial", "id", "T:20").select("id", F.col("sponsor_key").alias("key")).join(g.sponsor, "key").select("id", "name", "kind")
 
 
 @query("cl_q11_3_enrollment_completion", "SELECT t.id, t.planned, e.enrolled, round(e.enrolled * 100.0 / t.planned, 2)::DOUBLE AS percent FROM protocol t JOIN (SELECT trial, count(DISTINCT subject) AS enrolled FROM participation GROUP BY trial) e ON e.trial = t.id WHERE t.planned > 0")
