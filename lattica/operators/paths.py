@@ -60,3 +60,25 @@ def shortest_path(edges: DataFrame, start: str, end: str, longest: int = 5, undi
             return hit.select("nodes", F.lit(length).alias("length"))
         seen = seen.union(front.select("node"))
     return front.filter("false").select("nodes", F.lit(0).alias("length"))
+
+
+def paths_between(edges: DataFrame, start: str, end: str, longest: int = 3, shortest: int = 1, most: int | None = 100) -> DataFrame:
+    """length, nodes, rels of undirected paths between two nodes with no edge twice, the shortest first.
+
+    The last step isn't expanded: trails of one step less are joined with the edges at the end, so a hub that lies next
+    to the end only costs what leads there.
+    """
+    e = numbered(edges, undirected=True)
+    last = e.filter(F.col("dst") == end).select(F.col("src").alias("node"), F.col("rel").alias("rel"), F.col("edge"))
+    front = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.array(F.lit(start)).alias("nodes"), F.array().cast("array<string>").alias("rels"), F.array().cast("array<string>").alias("used"))
+    found = None
+    for length in range(1, longest + 1):
+        if length >= shortest:
+            hit = front.join(last, "node").filter(~F.array_contains("used", F.col("edge")))
+            hit = hit.select(F.lit(length).alias("length"), F.array_append("nodes", F.lit(end)).alias("nodes"), F.array_append("rels", F.col("rel")).alias("rels"))
+            found = hit if found is None else found.unionByName(hit)
+        if length < longest:
+            front = front.join(e.withColumnRenamed("src", "node"), "node").filter(~F.array_contains("used", F.col("edge")))
+            front = front.select(F.col("dst").alias("node"), F.array_append("nodes", F.col("dst")).alias("nodes"), F.array_append("rels", F.col("rel")).alias("rels"), F.array_append("used", F.col("edge")).alias("used"))
+    out = found.orderBy("length", F.array_join("nodes", ">"), F.array_join("rels", ">"))
+    return out if most is None else out.limit(most)

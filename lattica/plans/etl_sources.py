@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lattica.functions import classify, normalise
 from lattica.functions.cypher import cases
 from lattica.operators import records
+from lattica.plans import rules  # noqa: F401  (registers what the inference driver runs)
 from lattica.plans.binding import Graph
-from lattica.plans.registry import QUERIES, query
+from lattica.plans.registry import QUERIES, SQL, query
 from lattica.sources import agencies
 
 _TARGETS = "SELECT s_suppkey AS key, CASE WHEN s_suppkey % 3 = 0 THEN concat('P', 10000 + s_suppkey % 90000, 'AB') WHEN s_suppkey % 3 = 1 THEN 'bad' END AS accession, CASE WHEN s_suppkey % 2 = 0 THEN concat('CHEMBL', s_suppkey) END AS chembl, s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'Enzyme class' WHEN 1 THEN 'ion channel' WHEN 2 THEN 'growth factor receptor' END AS class, CASE s_suppkey % 3 WHEN 0 THEN 'Homo  sapiens' WHEN 1 THEN 'mus musculus' ELSE 'felis catus' END AS species FROM {supplier}"
@@ -277,3 +278,12 @@ def inferred(g: Graph, least: float = 0.5) -> DataFrame:
         one = QUERIES[name](g.spark, g.folder).select(F.lit(name).alias("rule"), F.round("confidence", 3).alias("confidence"))
         out = one if out is None else out.unionByName(one)
     return out.filter(F.col("confidence") >= least)
+
+
+_INFERRED = " UNION ALL ".join(f"SELECT '{name}' AS rule, round(confidence, 3) AS confidence FROM ({SQL[name]})" for name in _RULES)
+
+
+@query("rul_7_inferred", f"SELECT rule, CAST(floor(confidence * 10) AS INT) AS tenth, count(*) AS n, max(confidence)::DOUBLE AS best FROM ({_INFERRED}) WHERE confidence >= 0.5 GROUP BY ALL")
+def rul_7(g: Graph) -> DataFrame:
+    """What the rules infer with enough confidence: a histogram by rule."""
+    return inferred(g).groupBy("rule", F.floor(F.col("confidence") * 10).cast("int").alias("tenth")).agg(F.count("*").alias("n"), F.max("confidence").alias("best"))
