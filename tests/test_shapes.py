@@ -22,7 +22,7 @@ def test_conditions(spark):
 
 def test_rows_of_one_node(spark):
     g = Graph(spark, "/root/testdata/sf0.001")
-    for (view, column), node in zip(KEYS, "P:3 S:4 P:3 D:11 S:2 D:7 P:30 T:1 S:3 P:9 M:3 M:3 U:12".split(), strict=True):
+    for (view, column), node in zip(KEYS, "P:3 S:4 P:3 D:11 S:2 D:7 P:30 T:1 S:3 P:9 M:3 M:3 U:12 T:20 T:20 T:20 T:20 D:11 P:1".split(), strict=True):
         rows = sorted(map(tuple, getattr(g, view).filter(F.col(column) == node).collect()), key=str)
         assert rows and rows == sorted(map(tuple, g.at(view, column, node).collect()), key=str), (view, column)
     assert g.at("treats", "compound", "P:none").isEmpty() and g.at("treats", "compound", "P:03").isEmpty()
