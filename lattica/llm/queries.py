@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, exact_dedup, language_id, length_packing, media, ngram_jaccard, sharding, token_output, toxicity, url_filter
+from lattica.llm import bpe, exact_dedup, forced_bpe, language_id, length_packing, lexical_search, media, ngram_jaccard, sharding, token_output, toxicity, url_filter
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 #: Fixed rules of the URL query.
@@ -78,11 +78,28 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.pack_digests(token_output.packed_ids(_table(spark, sf_dir, "documents"), *_tokenizer()))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_media, op4_packing, op5_ngram_jaccard, op6_byte_bpe, op7_url_filter, op8_language_id, langid_pages, op9_toxicity, op10_token_output)}
+def op11_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = forced_bpe.decoded(forced_bpe.encoded(_table(spark, sf_dir, "documents"), path), path)
+    ids = F.col("ids")
+    return rows.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), forced_bpe.decimal_sha256(ids).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_media, op4_packing, op5_ngram_jaccard, op6_byte_bpe, op7_url_filter, op8_language_id, langid_pages, op9_toxicity, op10_token_output, op11_forced_bpe, op13_lexical_search)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: What a term of op13 is.
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
 def _op2_sql() -> str:
     size = sharding.prime_from(100 * len(SHARDS))
     slots = ", ".join(map(str, sharding.fill(SHARDS, size)))
@@ -129,4 +146,14 @@ ORACLE_SQL = {
             row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule_host || r.rule_path) DESC, length(r.rule_host) DESC) AS rank
             FROM parts p LEFT JOIN rules r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE rank = 1""",
+    "op13_lexical_search": rf"""
+        WITH found AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_NORM}, '{_TERM}') AS terms FROM documents),
+        totals AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM found),
+        counted AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM found) GROUP BY ALL),
+        asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_NORM}, '{_TERM}')) AS term FROM benchmark),
+        weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counted, totals GROUP BY term, n_docs),
+        scored AS (SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM asked JOIN weights USING (term) JOIN counted USING (term), totals GROUP BY item_id, row, doc_id),
+        placed AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+        SELECT * FROM placed WHERE rank <= 10""",
 }
