@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import bpe, exact_dedup, forced_bpe, language_id, length_packing, lexical_search, media, ngram_jaccard, sharding, token_output, toxicity, url_filter
+from lattica.llm import bpe, conversation_trie, exact_dedup, forced_bpe, language_id, length_packing, lexical_search, media, ngram_jaccard, sharding, token_output, toxicity, url_filter
 
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 #: Fixed rules of the URL query.
@@ -87,15 +87,22 @@ def op11_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), forced_bpe.decimal_sha256(ids).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_media, op4_packing, op5_ngram_jaccard, op6_byte_bpe, op7_url_filter, op8_language_id, langid_pages, op9_toxicity, op10_token_output, op11_forced_bpe, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_sharding, op3_media, op4_packing, op5_ngram_jaccard, op6_byte_bpe, op7_url_filter, op8_language_id, langid_pages, op9_toxicity, op10_token_output, op11_forced_bpe, op12_prefix_trie, op13_lexical_search)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: CRC-32 of c in decimal, bit by bit: this engine has no function for it.
+_CRC32 = """xor(4294967295, list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda crc, byte: list_reduce(range(8), lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END, xor(crc, byte)), CAST(4294967295 AS BIGINT)))"""
 #: What a term of op13 is.
 _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -146,6 +153,22 @@ ORACLE_SQL = {
             row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule_host || r.rule_path) DESC, length(r.rule_host) DESC) AS rank
             FROM parts p LEFT JOIN rules r ON (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE rank = 1""",
+    "op12_prefix_trie": f"""
+        WITH own AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (SELECT c, c - c % 5 AS first, {_CRC32} % 9 AS h FROM (SELECT DISTINCT c FROM own)),
+        rebuilt AS (SELECT c, CAST(row_number() OVER (PARTITION BY c ORDER BY part, i) AS BIGINT) AS d, role, text FROM (
+            SELECT convs.c, 0 AS part, i, role, text FROM convs JOIN own ON own.c = convs.first WHERE i <= h UNION ALL
+            SELECT convs.c, 1, i, role, text FROM convs JOIN own ON own.c = convs.c WHERE i > h)),
+        members AS (SELECT c, d, list({{'role': role, 'text': text}}) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS path, strlen(text) AS n_bytes FROM rebuilt UNION ALL
+            SELECT c, 0, CAST([] AS STRUCT("role" VARCHAR, "text" VARCHAR)[]), 0 FROM convs),
+        lengths AS (SELECT c, max(d) AS length FROM members GROUP BY c),
+        nodes AS (SELECT path, d AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n_bytes) AS saved,
+            sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = length), '')) AS ends_sha256 FROM members JOIN lengths USING (c) GROUP BY path, d),
+        linked AS (SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON n.depth = p.depth + 1 AND n.path[1:p.depth] = p.path),
+        children AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+        full_nodes AS (SELECT linked.*, coalesce(n_children, 0) AS n_children FROM linked LEFT JOIN children USING (conv_id, depth))
+        SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, count(*) FILTER (b.n_children = 0) AS n_leaves, CAST(sum(b.saved) AS BIGINT) AS saved_tokens, a.ends_sha256
+        FROM full_nodes a JOIN full_nodes b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path GROUP BY a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends_sha256""",
     "op13_lexical_search": rf"""
         WITH found AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_NORM}, '{_TERM}') AS terms FROM documents),
         totals AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM found),
