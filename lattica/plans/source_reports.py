@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.plans.binding import Graph
 from lattica.plans.registry import query
-from lattica.sources import pathway_maps, reports, results
+from lattica.sources import details, entities, pathway_maps, reports, results
 
 _KIND = "CASE s_suppkey % 3 WHEN 0 THEN 'cleanroom' WHEN 1 THEN 'aseptic area' ELSE 'warehouse' END"
 #: A report as a maker's data would fill it in.
@@ -81,3 +81,63 @@ def snk_7(g: Graph) -> DataFrame:
 def snk_8(g: Graph) -> DataFrame:
     """The commonest sources and languages of documents."""
     return results.document_statistics(g.documents, ["source", "lang"])
+
+
+_STUDY = """to_json(named_struct('protocolSection', named_struct('identificationModule', named_struct('nctId', concat('NCT', o_orderkey)),
+    'sponsorCollaboratorsModule', named_struct('leadSponsor', named_struct('name', concat('Sponsor ', o_custkey), 'class', 'INDUSTRY'), 'responsibleParty', named_struct('type', CASE o_orderkey % 3 WHEN 0 THEN 'PRINCIPAL_INVESTIGATOR' WHEN 1 THEN 'SPONSOR_INVESTIGATOR' ELSE 'SPONSOR' END, 'name', o_clerk_, 'investigatorFullName', concat('Dr ', o_clerk_))),
+    'contactsLocationsModule', named_struct('centralContacts', array(named_struct('name', o_clerk_, 'role', 'CONTACT'))), 'outcomesModule', named_struct('primaryOutcomes', array(named_struct('measure', 'survival')), 'secondaryOutcomes', array(named_struct('measure', 'response'), named_struct('measure', 'pain'))),
+    'eligibilityModule', named_struct('eligibilityCriteria', concat('Inclusion Criteria:\\n adults\\n order ', o_orderkey, '\\n\\nExclusion Criteria:\\n none'), 'sex', 'ALL'))))"""
+
+
+def _study_details(g: Graph) -> DataFrame:
+    text = g.orders.withColumn("o_clerk_", F.concat(F.lit("Person "), F.col("o_orderkey") % 97)).select(F.expr(_STUDY).alias("value"))
+    return details.flat_details(text.select(F.from_json("value", details.STUDY_DETAILS).alias("r")).select("r.*"))
+
+
+@query(
+    "ent_2_study_details",
+    """SELECT src, dst, rel FROM (SELECT o_orderkey AS k, o_custkey AS c FROM orders), LATERAL (SELECT concat('trial:NCT', k) AS src, concat('sponsor:sponsor-', c) AS dst, 'SPONSORED_BY' AS rel UNION ALL SELECT concat('trial:NCT', k), concat('investigator:person-', k % 97), 'HAS_PRINCIPAL_INVESTIGATOR' WHERE k % 3 = 0
+    UNION ALL SELECT concat('trial:NCT', k), concat('investigator:dr-person-', k % 97), 'HAS_PRINCIPAL_INVESTIGATOR' WHERE k % 3 = 1 UNION ALL SELECT concat('trial:NCT', k), concat('investigator:NCT', k, '-0'), 'HAS_INVESTIGATOR' WHERE k % 3 > 0
+    UNION ALL SELECT concat('trial:NCT', k), concat('outcome:NCT', k, o), 'HAS_OUTCOME' FROM (VALUES ('-primary-0'), ('-secondary-0'), ('-secondary-1')) v(o) UNION ALL SELECT concat('trial:NCT', k), concat('eligibility:NCT', k), 'HAS_ELIGIBILITY')""",
+)
+def ent_2(g: Graph) -> DataFrame:
+    """Who sponsors and leads trials, what they measure, and who may take part."""
+    return details.of_study_details(_study_details(g))[1].select("src", "dst", "rel")
+
+
+@query("ent_2_criteria", "SELECT concat('NCT', o_orderkey) AS trial_id, concat('adults|order ', o_orderkey) AS inclusion, 'none' AS exclusion FROM orders")
+def ent_2_criteria(g: Graph) -> DataFrame:
+    """Criteria of eligibility by the headings that they stand under."""
+    c = details.criteria(F.col("eligibility.eligibilityCriteria"))
+    return _study_details(g).select("trial_id", F.array_join(c["inclusion"], "|").alias("inclusion"), F.array_join(c["exclusion"], "|").alias("exclusion"))
+
+
+_DRUG = """concat('<drug><drugbank-id primary="true">DB', p_partkey, '</drugbank-id><name>', p_name, '</name><enzymes><enzyme><id>BE', p_partkey % 50, '</id><name>cyp</name><organism>Humans</organism>', CASE WHEN p_partkey % 2 = 0 THEN concat('<polypeptide><external-identifiers><external-identifier><resource>UniProt</resource><identifier>UP', p_partkey % 50, '</identifier></external-identifier></external-identifiers></polypeptide>') ELSE '' END,
+    '</enzyme></enzymes><transporters><transporter><id>BT', p_partkey % 20, '</id><name>abc</name></transporter></transporters><pharmacokinetics><half-life>', p_size, ' hours</half-life></pharmacokinetics><toxicity>low</toxicity><drug-interactions><drug-interaction><drugbank-id>DB', p_partkey + 1, '</drugbank-id><name>x</name><description>',
+    CASE p_partkey % 3 WHEN 0 THEN 'The serum level may rise; avoid it.' WHEN 1 THEN 'The risk is moderate.' ELSE 'Nothing known' END, '</description></drug-interaction></drug-interactions></drug>')"""
+
+
+@query(
+    "ent_6_drug_details",
+    """SELECT src, dst, rel, severity, kind FROM (SELECT p_partkey AS k FROM part), LATERAL (SELECT concat('drugbank:DB', k) AS src, concat('target:', CASE WHEN k % 2 = 0 THEN 'UP' ELSE 'BE' END, k % 50) AS dst, 'METABOLIZED_BY' AS rel, NULL AS severity, NULL AS kind UNION ALL SELECT concat('drugbank:DB', k), concat('target:BT', k % 20), 'TRANSPORTED_BY', NULL, NULL
+    UNION ALL SELECT concat('drugbank:DB', k), concat('drugbank:DB', k + 1), 'INTERACTS_WITH', CASE k % 3 WHEN 0 THEN 'major' WHEN 1 THEN 'moderate' ELSE 'unknown' END, CASE k % 3 WHEN 0 THEN 'pharmacokinetic' WHEN 1 THEN 'pharmacodynamic' ELSE 'unknown' END)""",
+)
+def ent_6(g: Graph) -> DataFrame:
+    """Enzymes, transporters and interactions of drug records in XML."""
+    records = g.part.select(F.from_xml(F.expr(_DRUG), details.DRUG_DETAILS).alias("r")).select("r.*")
+    e = details.of_drug_details(details.flat_drugs(records))[1]
+    return e.select("src", "dst", "rel", F.try_element_at("props", F.lit("severity")).alias("severity"), F.try_element_at("props", F.lit("kind")).alias("kind"))
+
+
+@query(
+    "ent_3_reports",
+    """SELECT src, dst, rel, count(*) AS n FROM (SELECT concat('compound:drug-', event_id % 200) AS src, concat('event:', event_id) AS dst, 'CAUSED_ADVERSE_EVENT' AS rel FROM events WHERE event_type = 'error' AND event_id % 4 > 0 UNION ALL SELECT concat('event:', event_id), concat('condition:term-', user_id % 90), 'ASSOCIATED_WITH' FROM events WHERE event_type = 'error') GROUP BY ALL""",
+)
+def ent_3(g: Graph) -> DataFrame:
+    """Reports of adverse events: only suspected drugs cause them."""
+    rows = g.events.filter("event_type = 'error'")
+    report = F.col("event_id").cast("string").alias("safetyreportid")
+    demo = rows.select(report, F.date_format("ts", "yyyyMMdd").alias("receivedate"), F.lit("Y").alias("serious"))
+    drug = rows.select(report, F.when(F.col("event_id") % 4 > 0, 1).otherwise(2).alias("drugcharacterization"), F.concat(F.lit("DRUG "), F.col("event_id") % 200).alias("drugname"))
+    reaction = rows.select(report, F.concat(F.lit("Term  "), F.col("user_id") % 90).alias("reactionmeddraversionpt"))
+    return entities.of_reports(demo, drug, reaction)[1].groupBy("src", "dst", "rel").agg(F.count("*").alias("n"))

@@ -114,7 +114,7 @@ def requirements(c: Column) -> dict[str, Column]:
 
 def _told(text: Column, stops: str, least: int, patterns: tuple[str, ...], make) -> Column:
     """make(type, sentence) for what patterns find in sentences of some length; once for each type and beginning of a sentence."""
-    sentences = F.filter(F.transform(F.split(text, stops), F.trim), lambda s: F.length(s) >= least)
+    sentences = F.filter(F.transform(F.split(text, stops), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
     def of(s: Column) -> Column:
         found = F.concat(*[F.regexp_extract_all(s, F.lit(p), F.lit(1)) for p in patterns])
@@ -152,7 +152,7 @@ def read_reports(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda n: F.struct(name(n).alias("name"), F.lit(kind).alias("kind")))
 
     standards = F.array_distinct(F.concat(*[named(*s) for s in STANDARDS]))
-    makers = F.array_distinct(F.transform(F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in MAKERS]), F.trim))
+    makers = F.array_distinct(F.transform(F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in MAKERS]), lambda m: F.trim(m)))
     return docs.select(
         F.col(key), number.alias("number"), _told(c, r"[.!?]+", 20, FACILITIES, facility).alias("facilities"), standards.alias("standards"), _told(c, r"[.!?;]+", 15, ASSAYS, assay).alias("assays"),
         _told(c, r"[.!?]+", 20, PROCESSES, process).alias("processes"), makers.alias("makers"),
