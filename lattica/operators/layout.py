@@ -1,10 +1,11 @@
-"""Positions of nodes for drawing: circle, grid, levels, rings. Ranks come from windows that are parted where rows are many."""
+"""Positions of nodes for drawing: circle, grid, levels, rings, forces. Ranks come from ranges, so no task numbers all rows."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lattica.operators.state import saved
 
@@ -36,8 +37,59 @@ def grid(nodes: DataFrame, columns: int = 5, spacing: float = 50.0) -> DataFrame
     return r.select("id", (F.col("rank") % columns * spacing).alias("x"), (F.floor(F.col("rank") / columns) * spacing).cast("double").alias("y"))
 
 
-def levels(degrees: DataFrame, spacing: float = 50.0) -> DataFrame:
-    """id, x, y: nodes of the highest degree on top, each level in the order of ids."""
-    top = degrees.agg(F.max("degree").alias("top"))
-    place = F.row_number().over(Window.partitionBy("degree").orderBy("id")) - 1
-    return degrees.join(F.broadcast(top)).select("id", (place * spacing).cast("double").alias("x"), ((F.col("top") - F.col("degree")) * spacing).cast("double").alias("y"))
+def levels(degrees: DataFrame, height: float = 50.0, width: float = 30.0) -> DataFrame:
+    """id, x, y: nodes (id, degree) of the highest degree on top; the n nodes of a level stand in the order of ids, evenly within n widths around 0.
+
+    All nodes are ranked once, by level and id, so that a level of very many nodes isn't numbered in one task.
+    """
+    r = ranked(degrees.select("id", "degree", (-F.col("degree")).alias("_level")), ["_level", "id"])
+    own = r.groupBy("degree").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+    top = own.agg(F.max("degree").alias("top"))
+    rows = r.join(own, "degree").join(F.broadcast(top))  # one row
+    n, i = F.col("n"), F.col("rank") - F.col("first") + 1
+    return rows.select("id", (n * width * (i / (n + 1) - 0.5)).alias("x"), ((F.col("top") - F.col("degree")) * height).cast("double").alias("y"))
+
+
+def rings(nodes: DataFrame, centre: str, radius: float = 100.0) -> DataFrame:
+    """id, x, y: a node in the middle and all others around it by id; without that node, a circle of all."""
+    others = circle(nodes.filter(F.col("id") != centre), radius)
+    return others.unionByName(nodes.filter(F.col("id") == centre).select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
+
+
+#: Nodes that a picture by forces has at most.
+MOST_DRAWN = 2000
+
+
+def forces(edges: DataFrame, picture: str, rounds: int = 100, repulsion: float = 100.0, attraction: float = 0.1, damping: float = 0.9, seed: int = 42) -> DataFrame:
+    """picture, id, x, y: for each picture (a column of edges src, dst), its nodes where forces push and draw them.
+
+    Nodes repel each other by repulsion over their squared distance and edges draw by attraction times distance; a round moves a node by damping
+    times its force, at most ten units. They start at places that a hash of their ids gives. A picture is worked out in one task, so it may have MOST_DRAWN
+    nodes; larger ones fail, before their edges are brought together.
+    """
+    ends = edges.select(picture, F.explode(F.array("src", "dst")).alias("id")).dropna().distinct()
+    large = ends.groupBy(picture).count().filter(F.col("count") > MOST_DRAWN)
+    if not large.isEmpty():
+        raise ValueError(f"a picture has over {MOST_DRAWN} nodes")
+    start = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(200_001)) / 1000.0 - 100.0)
+    start = [start(k).alias(c) for k, c in enumerate("xy")]
+    once = edges.select(picture, "src", "dst").dropna().distinct()
+
+    def place(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("id", ignore_index=True)
+        at = nodes[["x", "y"]].to_numpy().copy()
+        a, b = (np.searchsorted(nodes["id"], links[c]) for c in ("src", "dst"))
+        for _ in range(rounds):
+            apart = at[:, None] - at[None]
+            far = np.sqrt((apart**2).sum(2)) + 0.1
+            force = (apart / far[..., None] * (repulsion / far**2)[..., None]).sum(1)
+            pull = attraction * (at[b] - at[a])
+            np.add.at(force, a, pull)
+            np.add.at(force, b, -pull)
+            step = damping * force
+            at += step * np.minimum(1, 10 / np.maximum(np.linalg.norm(step, axis=1, keepdims=True), 1e-9))
+        return nodes[[picture, "id"]].assign(x=at[:, 0], y=at[:, 1])
+
+    kind = dict(edges.dtypes)
+    nodes = ends.select(F.col(picture).alias(picture), F.col("id").alias("id"), *start)
+    return nodes.groupBy(picture).cogroup(once.select(*[F.col(c).alias(c) for c in (picture, "src", "dst")]).groupBy(picture)).applyInPandas(place, f"{picture} {kind[picture]}, id {kind['src']}, x double, y double")

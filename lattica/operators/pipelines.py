@@ -60,23 +60,33 @@ def stored(spark: SparkSession, store: str) -> DataFrame | None:
     return None if version is None else spark.read.parquet(f"{store}/data-{version}")
 
 
-def _version(spark: SparkSession, store: str) -> int | None:
+def _versions(spark: SparkSession, store: str) -> DataFrame | None:
     try:
-        return spark.read.schema("version int").json(f"{store}/versions").agg(F.max("version")).first()[0]
+        return spark.read.schema("version int, batch long").json(f"{store}/versions")
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-def load(rows: DataFrame, key: str, store: str) -> int:
-    """Merges rows into a store: new keys are added, given properties replace old ones. Returns the new version."""
+def _version(spark: SparkSession, store: str) -> int | None:
+    found = _versions(spark, store)
+    return None if found is None else found.agg(F.max("version")).first()[0]
+
+
+def load(rows: DataFrame, key: str, store: str, batch: int | None = None) -> int:
+    """Merges rows into a store: new keys are added, given properties replace old ones. Returns the new version.
+
+    batch: a number that rows come under; what is in the store under a batch already isn't merged again.
+    """
     spark = rows.sparkSession
     version = _version(spark, store)
+    if batch is not None and version is not None and not _versions(spark, store).filter(F.col("batch") == batch).isEmpty():
+        return version
     merged = rows if version is None else upserted(spark.read.parquet(f"{store}/data-{version}"), rows, key)
     new = 1 if version is None else version + 1
     merged.write.mode("overwrite").parquet(f"{store}/data-{new}")
-    spark.range(1).select(F.lit(new).alias("version")).write.mode("append").json(f"{store}/versions")
+    spark.range(1).select(F.lit(new).alias("version"), F.lit(batch).cast("long").alias("batch")).write.mode("append").json(f"{store}/versions")
     return new
 
 

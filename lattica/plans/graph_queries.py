@@ -178,3 +178,31 @@ def ga_8(g: Graph) -> DataFrame:
 def ga_4(g: Graph) -> DataFrame:
     """Sizes of the communities of the whole graph by greedy modularity."""
     return algorithms.communities(g.link).groupBy("community").agg(F.count("*").alias("n"))
+
+
+@query(
+    "vis_2_levels",
+    "SELECT id, round(n * 30.0 * (i::DOUBLE / (n + 1) - 0.5), 4) + 0.0 AS x, ((top - degree) * 50)::DOUBLE AS y FROM (SELECT id, degree, row_number() OVER (PARTITION BY degree ORDER BY id) AS i, count(*) OVER (PARTITION BY degree) AS n, max(degree) OVER () AS top FROM (SELECT target AS id, count(*) AS degree FROM acts_on GROUP BY target))",
+)
+def vis_2_levels(g: Graph) -> DataFrame:
+    """Targets in levels by their number of compounds."""
+    degrees = g.acts_on.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("degree"))
+    return layout.levels(degrees).select("id", (F.round("x", 4) + 0.0).alias("x"), "y")
+
+
+@query(
+    "vis_2_rings",
+    "SELECT id, round(100 * cos(2 * pi() * r / n), 4) + 0.0 AS x, round(100 * sin(2 * pi() * r / n), 4) + 0.0 AS y FROM (SELECT id, row_number() OVER (ORDER BY id) - 1 AS r, count(*) OVER () AS n FROM target WHERE id <> 'S:4') UNION ALL SELECT id, 0, 0 FROM target WHERE id = 'S:4'",
+)
+def vis_2_rings(g: Graph) -> DataFrame:
+    """Targets around one of them."""
+    return layout.rings(g.target, "S:4").select("id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
+
+
+@query("vis_2_forces")  # positions by many small steps; the operator is tested by what it must do to a picture
+def vis_2_forces(g: Graph) -> DataFrame:
+    """Pictures of pathways with their targets, drawn by forces; a pathway of over some 500 targets takes several pictures."""
+    edges = g.pathway_target.select(F.col("pathway").alias("whole"), F.col("target").alias("src"), F.col("pathway").alias("dst")).distinct()
+    size = edges.groupBy("whole").agg(F.ceil(F.count("*") / 500).alias("parts"))
+    rows = edges.join(size, "whole").withColumn("picture", F.concat_ws("/", "whole", F.pmod(F.xxhash64("src"), F.col("parts"))))
+    return layout.forces(rows, "picture").select("picture", "id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))

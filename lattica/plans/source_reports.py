@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.plans.binding import Graph
 from lattica.plans.registry import query
-from lattica.sources import details, entities, pathway_maps, reports, results
+from lattica.sources import details, entities, pathway_maps, reports, results, web_pages
 
 _KIND = "CASE s_suppkey % 3 WHEN 0 THEN 'cleanroom' WHEN 1 THEN 'aseptic area' ELSE 'warehouse' END"
 #: A report as a maker's data would fill it in.
@@ -141,3 +141,28 @@ def ent_3(g: Graph) -> DataFrame:
     drug = rows.select(report, F.when(F.col("event_id") % 4 > 0, 1).otherwise(2).alias("drugcharacterization"), F.concat(F.lit("DRUG "), F.col("event_id") % 200).alias("drugname"))
     reaction = rows.select(report, F.concat(F.lit("Term  "), F.col("user_id") % 90).alias("reactionmeddraversionpt"))
     return entities.of_reports(demo, drug, reaction)[1].groupBy("src", "dst", "rel").agg(F.count("*").alias("n"))
+
+
+@query(
+    "src_25_page_links",
+    r"""SELECT page_id, place, href, concat(regexp_extract(url, '^[a-z]+://[^/?#]*'), href) AS url, label FROM (SELECT page_id, url, generate_subscripts(h, 1) - 1 AS place, unnest(h) AS href, unnest(l) AS label FROM
+    (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS l FROM pages))""",
+)
+def src_25_links(g: Graph) -> DataFrame:
+    """Where every page links to."""
+    return web_pages.links(g.pages, "page_id")
+
+
+_TABLE = """concat('<table><tr><th>Document</th><th>Issue Date</th><th>Type</th></tr><tr><td><a class="x" href="/doc/', p_partkey, '">', p_name, '</a> &amp; more</td><td>2001-0', 1 + p_size % 9, '-01</td><td>', p_mfgr_, '</td></tr><tr><td>no link</td><td></td></tr></table><table><tr><td><a href="x.pdf">', p_name, '</a></td></tr></table>')"""
+
+
+@query(
+    "src_25_listed_documents",
+    """SELECT p_partkey AS key, 0 AS "table", 1 AS row, concat(p_name, ' & more') AS title, concat('https://agency.example/doc/', p_partkey) AS url, concat('kind ', p_size % 4) AS kind, concat('2001-0', 1 + p_size % 9, '-01') AS date FROM part
+    UNION ALL SELECT p_partkey, 1, 0, p_name, 'https://agency.example/lists/x.pdf', NULL, NULL FROM part""",
+)
+def src_25_documents(g: Graph) -> DataFrame:
+    """Documents that tables of web pages list."""
+    made = g.part.withColumn("p_mfgr_", F.concat(F.lit("kind "), F.col("p_size") % 4))
+    pages = made.select(F.col("p_partkey").alias("key"), F.lit("https://agency.example/lists/all?x=1").alias("url"), F.expr(_TABLE).alias("html"))
+    return web_pages.listed_documents(pages, "key").select("key", "table", "row", "title", "url", "kind", "date")
