@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from lattica.llm.textvec import buffers, slices
 
-#: A Python worker forgets its words once there are so many.
-MEMORY = 300_000
+#: A Python worker forgets its words once there are so many, or of so many bytes: a text without blanks is one word.
+MEMORY, MEMORY_BYTES = 300_000, 32 << 20
 #: Fragments of more bytes are merged one by one, with a heap.
 SHORT = 48
 NEVER = 1 << 60
@@ -81,6 +81,7 @@ class ForcedBpe:
         #: Words that begin with white space and end with something else.
         self.inner = re.compile(b"[" + re.escape(blanks) + b"].*[^" + re.escape(bytes(sorted(last))) + b"]", re.DOTALL)
         self.words: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of these words
 
     def matches(self, text: str) -> list[str]:
         """The pattern's matches. Characters younger than Python's tables are left to the library's own tables."""
@@ -179,23 +180,21 @@ class ForcedBpe:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         stops = (begin[np.searchsorted(at, ends)] * 4).tolist()
         raw = ids.astype("<i4").tobytes()
+        self.held += len(data)
         self.words.update(zip(words, (raw[i:j] for i, j in zip([0, *stops], stops))))
 
     def encode_column(self, column: pa.Array) -> pa.Array:
         """A list of ids for each text; null counts as empty. Texts with special tokens are cut there first."""
         data, at = buffers(column)
-        raw, starts = data.tobytes(), at[:-1]
+        raw = data.tobytes()
         if len(data) > 1:
             x = data.astype(np.uint16)
             cuts = np.flatnonzero(self.certain[x[:-1] << 8 | x[1:]]) + 1
         else:
             cuts = np.zeros(0, np.int64)
         special: list[tuple[int, int, int]] = []
-        for t in self.special:
-            i = raw.find(t.encode())
-            if i >= 0:
-                special = self._specials_in(raw, at)
-                break
+        if any(t.encode() in raw for t in self.special):
+            special = self._specials_in(raw, at)
         known = {i: token for i, _, token in special}
         if special:
             s = np.array(special)
@@ -205,8 +204,8 @@ class ForcedBpe:
         edges = np.unique(np.concatenate((cuts, at)))
         ends = edges.tolist()
         words = [b"" if i in known else raw[i:j] for i, j in zip(ends, ends[1:])] if known else [raw[i:j] for i, j in zip(ends, ends[1:])]
-        if len(self.words) > MEMORY:
-            self.words = {}
+        if len(self.words) > MEMORY or self.held > MEMORY_BYTES:
+            self.words, self.held = {}, 0
         new = [w for w in dict.fromkeys(words) if w and w not in self.words]
         if new:
             self.learn(new)
@@ -214,7 +213,6 @@ class ForcedBpe:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2
         total = np.concatenate(([0], np.cumsum(lengths)))
         offsets = total[np.searchsorted(edges, at)]
-        assert len(starts) == len(column)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(pieces), np.int32), pa.int32()))
 
     def _specials_in(self, raw: bytes, at: np.ndarray) -> list[tuple[int, int, int]]:

@@ -51,6 +51,7 @@ def test_no_token_holds_a_forced_pair(ours):
 
 def test_long_fragments_and_forgotten_words(library, ours, monkeypatch):
     monkeypatch.setattr(forced_bpe, "MEMORY", 3)
+    monkeypatch.setattr(forced_bpe, "MEMORY_BYTES", 1000)
     texts = ["z" * 60_000, "ab" * 30_000, "Xy" * 24 + "Xy" * 3, " x" * 50, "　" * 70, None, "", "one two three", "four five six one"]
     for _ in range(2):
         assert ours.encode_column(pa.array(texts, pa.string())).to_pylist() == [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
