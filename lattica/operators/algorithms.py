@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.operators.state import saved
+from lattica.operators.state import dropped, saved
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, direction: str = "both") -> DataFrame:
@@ -32,12 +32,12 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, save
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     links = saved(edges.select("src", "dst").distinct().join(out, "src"), "links")
     nodes = saved(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "nodes")
-    scores = nodes.withColumn("score", F.lit(1.0))
+    scores, held = nodes.withColumn("score", F.lit(1.0)), None
     for i in range(1, iterations + 1):
         flow = links.join(scores.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg((F.sum(F.round(F.col("score") / F.col("out") * UNITS).cast("long")) / UNITS).alias("flow"))
         scores = nodes.join(flow, "id", "left").select("id", ((1 - damping) + damping * F.coalesce("flow", F.lit(0.0))).alias("score"))
         if i % save_every == 0 and i < iterations:
-            scores = saved(scores, "scores")
+            scores = held = saved(scores, "scores", held)
     return scores
 
 
@@ -50,12 +50,12 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def label_propagation(edges: DataFrame, iterations: int = 10) -> DataFrame:
     """id, label: all at once take the commonest label among distinct neighbours, the least of equally common ones."""
     links = saved(both_ways(edges), "links")
-    labels = links.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
+    labels, held = links.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")), None
     for i in range(iterations):
         n = links.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count("*").alias("n"))
         labels = n.groupBy(F.col("src").alias("id")).agg(F.min(F.struct(-F.col("n"), "label")).alias("best")).select("id", F.col("best.label").alias("label"))
         if i % 3 == 2:
-            labels = saved(labels, "labels")
+            labels = held = saved(labels, "labels", held)
     return labels
 
 
@@ -71,7 +71,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         step = now.join(near, "id").select("id", F.least("component", "near").alias("component"))
         jump = step.alias("a").join(step.select(F.col("id").alias("component"), F.col("component").alias("further")), "component").select("id", F.least("component", "further").alias("component"))
         after = saved(jump, "components")
-        if after.exceptAll(now).isEmpty():
+        settled = after.exceptAll(now).isEmpty()
+        dropped(now)
+        if settled:
+            dropped(links)
             return after
         now = after
     raise RuntimeError("components did not settle")
@@ -98,6 +101,45 @@ def two_step_betweenness(edges: DataFrame) -> DataFrame:
     return p.join(ways, ["s", "t"]).groupBy(F.col("m").alias("id")).agg(F.sum(1.0 / F.col("ways")).alias("score"))
 
 
+def betweenness(edges: DataFrame, sources: DataFrame, longest: int = 5) -> DataFrame:
+    """id, score: over undirected shortest paths of up to so many steps from each source (id), the shares that lead over a node.
+
+    Of the shortest paths between a source and a node, each gives its share to the nodes between. With all nodes as
+    sources every pair counts twice. Paths are counted level by level, and shares go back the same way; a level holds a row for each
+    source and node, so the sources are to be a bounded sample. Nodes that nothing leads over have no row.
+    """
+    links = saved(both_ways(edges), "links")
+    ends = links.select(F.col("src").alias("id")).distinct()
+    level = saved(sources.select("id").distinct().join(ends, "id", "left_semi").select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("ways")), "level")
+    levels = [level]
+    for _ in range(longest):
+        step = levels[-1].join(links.withColumnRenamed("src", "node"), "node").groupBy("source", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways"))
+        # a neighbour of this level's nodes lies on it, on the one before, or is new
+        for known in levels[-2:]:
+            step = step.join(known.select("source", "node"), ["source", "node"], "left_anti")
+        level = saved(step, "level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    score, share = None, None
+    for far, near in zip(levels[:0:-1], levels[-2::-1]):
+        told = far.withColumn("share", F.lit(0.0)) if share is None else far.join(share, ["source", "node"], "left").fillna(0.0, ["share"])
+        back = told.join(links.withColumnRenamed("src", "node"), "node").select("source", F.col("dst").alias("node"), ((1 + F.col("share")) / F.col("ways")).alias("part"))
+        back = back.join(near, ["source", "node"]).groupBy("source", "node").agg((F.sum("part") * F.first("ways")).alias("share"))
+        share = saved(back, "share")
+        own = share.filter("source <> node").select("node", "share")
+        score = own if score is None else score.unionByName(own)
+    if score is None:
+        return ends.filter("false").withColumn("score", F.lit(0.0))
+    return score.groupBy(F.col("node").alias("id")).agg(F.sum("share").alias("score"))
+
+
+def sampled_betweenness(edges: DataFrame, sample_size: int = 1000, longest: int = 5, seed: int = 42) -> DataFrame:
+    """betweenness() from so many nodes, those whose ids hash lowest."""
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return betweenness(edges, nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_size), longest)
+
+
 def _gains(links: DataFrame, own: DataFrame, total: float) -> DataFrame:
     """id, move: the neighbouring community that raises modularity most, if any does; of equal ones the least."""
     weight = links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
@@ -134,15 +176,19 @@ def communities(edges: DataFrame, levels: int = 3, rounds: int = 6, settled: flo
             moves = saved(_gains(links, own, total).filter(half), "moves")
             n = moves.count()
             if n:
-                own = saved(own.join(moves, "id", "left").select("id", F.coalesce("move", "community").alias("community")), "communities")
+                own = saved(own.join(moves, "id", "left").select("id", F.coalesce("move", "community").alias("community")), "communities", own)
+            dropped(moves)
             moved, quiet = moved + n, quiet + 1 if n <= settled * nodes else 0
             if quiet == 2:
                 break
         if not moved:
+            dropped(own)
             break
-        member = saved(member.withColumnRenamed("community", "_c").join(own.select(F.col("id").alias("_c"), "community"), "_c").select("id", "community"), "members")
+        before = member if level else None
+        member = saved(member.withColumnRenamed("community", "_c").join(own.select(F.col("id").alias("_c"), "community"), "_c").select("id", "community"), "members", before)
         a, b = own.select(F.col("id").alias("src"), F.col("community").alias("s")), own.select(F.col("id").alias("dst"), F.col("community").alias("t"))
-        links = saved(links.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("t").alias("dst")).agg(F.sum("w").alias("w")), "links")
+        links = saved(links.join(a, "src").join(b, "dst").groupBy(F.col("s").alias("src"), F.col("t").alias("dst")).agg(F.sum("w").alias("w")), "links", links)
+        dropped(own)
     return member
 
 

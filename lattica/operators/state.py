@@ -19,8 +19,19 @@ def folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written and read again: its lineage is cut, and lost executors don't undo it."""
+def saved(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """df written and read again: its lineage is cut, and lost executors don't undo it. Deletes the table that it takes the place of."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lattica_path = path
+    if instead_of is not None:
+        dropped(instead_of)
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table made by saved() that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._lattica_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

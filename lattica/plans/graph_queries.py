@@ -206,3 +206,9 @@ def vis_2_forces(g: Graph) -> DataFrame:
     size = edges.groupBy("whole").agg(F.ceil(F.count("*") / 500).alias("parts"))
     rows = edges.join(size, "whole").withColumn("picture", F.concat_ws("/", "whole", F.pmod(F.xxhash64("src"), F.col("parts"))))
     return layout.forces(rows, "picture").select("picture", "id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("ga_3_sampled_betweenness")  # shares of paths of up to five steps; the operator is tested by hand
+def ga_3_sampled(g: Graph) -> DataFrame:
+    """Which nodes of the layer the shortest paths from a sample of 16 nodes lead over."""
+    return algorithms.sampled_betweenness(g.layer, 16).select("id", F.round("score", 4).alias("score"))

@@ -80,7 +80,7 @@ def closure(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     n = now.count()
     for _ in range(most_rounds):
         step = now.join(now.select(F.col("part").alias("whole"), F.col("whole").alias("further")), "whole").select("part", F.col("further").alias("whole"))
-        now = saved(now.union(step).distinct(), "closure")
+        now = saved(now.union(step).distinct(), "closure", now)
         more = now.count()
         if more == n:
             return now
