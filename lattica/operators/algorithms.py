@@ -6,9 +6,14 @@ own scratch folder), so plans stay small and executors can be lost.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.layout import ranked
 from lattica.operators.state import dropped, saved
 
 
@@ -101,6 +106,66 @@ def two_step_betweenness(edges: DataFrame) -> DataFrame:
     return p.join(ways, ["s", "t"]).groupBy(F.col("m").alias("id")).agg(F.sum(1.0 / F.col("ways")).alias("score"))
 
 
+#: Rows of first links that a block of two_step_pairs() has on average, and of second links at most, roughly; pairs worked out at once.
+BLOCK_ROWS, BLOCK_ENDS, PAIRS_AT_ONCE = 400_000, 2_000_000, 4_000_000
+
+
+def two_step_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
+    """pairs: how many different (src, dst) a first link (src, mid) and a second one (mid, dst) lead to; one row.
+
+    Pairs aren't listed or shuffled, as they may be a thousand times the links. Ranges of src are blocks, and a block gets the
+    second links of each mid that it uses once; where those are too many for a task, ends are dealt to slices by a hash, and each
+    slice of a block is counted apart. What is shuffled goes with blocks times the second links that they use: near the input where
+    neighbours in the order of src share mids, and never more than the pairs.
+    """
+    first, second = first.select("src", "mid").dropna(subset=["mid"]).distinct(), second.select("mid", "dst").dropna(subset=["mid"]).distinct()
+    names = ranked(second.select("dst").distinct(), ["dst"]).select(F.col("dst").alias("_dst"), F.col("rank").alias("end"))
+    second = saved(second.join(names, F.col("dst").eqNullSafe(F.col("_dst"))).select("mid", "end"), "second")
+    first = saved(first.join(second.select("mid").distinct(), "mid", "left_semi").select("src", "mid"), "first")
+    blocks = max(1, math.ceil(first.count() / BLOCK_ROWS))
+    dealt = saved(first.repartitionByRange(blocks, "src").withColumn("block", F.spark_partition_id()), "dealt", first)
+    need = dealt.select("block", "mid").distinct()
+    lengths = second.groupBy("mid").agg(F.count("*").alias("n"))
+    most = need.join(lengths, "mid").groupBy("block").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    slices = max(1, math.ceil(most / BLOCK_ENDS))
+    ends = need.join(second, "mid").select("block", F.pmod(F.xxhash64("end"), F.lit(slices)).cast("int").alias("slice"), F.col("mid").alias("mid"), F.col("end").alias("end"))
+    starts = dealt.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+    def count(own: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or ends.empty:
+            return pd.DataFrame({"pairs": [0]})
+        mids, names = pd.factorize(ends["mid"])
+        order = np.argsort(mids, kind="stable")
+        end = pd.factorize(ends["end"])[0][order]
+        size = np.bincount(mids, minlength=len(names))
+        begin = np.cumsum(size) - size
+        src = pd.factorize(own["src"], use_na_sentinel=False)[0]
+        mid = pd.Index(names).get_indexer(own["mid"])
+        src, mid = src[mid >= 0], mid[mid >= 0]
+        order = np.argsort(src, kind="stable")
+        src, mid = src[order], mid[order]
+        upto = np.cumsum(size[mid])
+        pairs, i, width = 0, 0, int(end.max()) + 1
+        while i < len(src):
+            done = upto[i - 1] if i else 0
+            j = max(i + 1, int(np.searchsorted(upto, done + PAIRS_AT_ONCE, "right")))
+            # whole nodes at once: back to where the last one began, or on to where the first one ends
+            if j < len(src):
+                k = int(np.searchsorted(src, src[j]))
+                j = k if k > i else int(np.searchsorted(src, src[i], "right"))
+            n = size[mid[i:j]]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[mid[i:j]], n)
+            key = np.sort(np.repeat(src[i:j], n) * width + end[at])
+            pairs += int((np.diff(key) != 0).sum()) + (len(key) > 0)
+            i = j
+        return pd.DataFrame({"pairs": [pairs]})
+
+    starts = starts.select(*[F.col(c).alias(c) for c in ("block", "slice", "src", "mid")])
+    tasks = blocks * slices
+    both = starts.repartition(tasks, "block", "slice").groupBy("block", "slice").cogroup(ends.repartition(tasks, "block", "slice").groupBy("block", "slice"))
+    return both.applyInPandas(count, "pairs long").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+
+
 def betweenness(edges: DataFrame, sources: DataFrame, longest: int = 5) -> DataFrame:
     """id, score: over undirected shortest paths of up to so many steps from each source (id), the shares that lead over a node.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.cypher import asc, day, desc, page
-from lattica.operators import paths
+from lattica.operators import algorithms, paths
 from lattica.operators.records import findings
 from lattica.plans.binding import AS_OF, Graph
 from lattica.plans.registry import query
@@ -273,8 +273,8 @@ CONDITIONS = {
 def rsn_5(g: Graph) -> DataFrame:
     """How many compounds and diseases each rule that can be judged holds for."""
     judged = [k for k, v in CONDITIONS.items() if "target" in v and "disease" in v]
-    pairs = g.acts_on.select("compound", "target").distinct().join(g.associated.select("target", "disease"), "target").select("compound", "disease").distinct()
-    return pairs.agg(F.count("*").alias("pairs")).select(F.explode(F.array(*map(F.lit, judged))).alias("rule"), "pairs")
+    pairs = algorithms.two_step_pairs(g.acts_on.select(F.col("compound").alias("src"), F.col("target").alias("mid")), g.associated.select(F.col("target").alias("mid"), F.col("disease").alias("dst")))
+    return pairs.filter("pairs > 0").select(F.explode(F.array(*map(F.lit, judged))).alias("rule"), "pairs")
 
 
 def apply_rules(g: Graph, rules: dict[str, str], views: list[str], parameters: dict[str, object]) -> DataFrame:
