@@ -323,10 +323,24 @@ def pathway_diseases(g: Graph) -> DataFrame:
     "SELECT s.id AS shortage, count(*) AS inspections FROM shortage s JOIN inspection i ON i.manufacturer = s.manufacturer AND i.inspected >= s.start_date AND (s.end_date IS NULL OR i.inspected <= s.end_date) GROUP BY s.id",
 )
 def overlapping(g: Graph) -> DataFrame:
-    """Inspections of a maker while a shortage of its own lasts: an equi-join with a range on top, open ends included."""
-    s = g.shortage.select("manufacturer", F.col("id").alias("shortage"), "start_date", "end_date")
-    i = g.inspection.select("manufacturer", "inspected")
-    return s.join(i, "manufacturer").filter("inspected >= start_date AND (end_date IS NULL OR inspected <= end_date)").groupBy("shortage").agg(F.count("*").alias("inspections"))
+    """Inspections of a maker while a shortage of its own lasts, open ends included: those up to its end less those before its start.
+
+    No pairs are listed: times of one maker and day are numbered together, and days are summed before that, so that a maker of very
+    many doesn't land in one task.
+    """
+    s = g.shortage.select("manufacturer", F.col("id").alias("shortage"), "start_date", "end_date").filter("manufacturer is not null and start_date is not null and (end_date is null or end_date >= start_date)")
+    i = g.inspection.select("manufacturer", F.col("inspected").alias("at")).filter("manufacturer is not null and at is not null")
+    # at the same time a start comes before inspections and an end after them; what has no end comes last
+    none = F.lit(None).cast("string")
+    start = s.select("manufacturer", F.col("start_date").alias("at"), F.lit(0).alias("turn"), F.lit(-1).alias("sign"), "shortage")
+    end = s.select("manufacturer", F.col("end_date").alias("at"), F.lit(2).alias("turn"), F.lit(1).alias("sign"), "shortage")
+    rows = i.select("manufacturer", "at", F.lit(1).alias("turn"), F.lit(0).alias("sign"), none.alias("shortage")).unionByName(start).unionByName(end).withColumn("day", F.to_date("at"))
+    found = F.count_if(F.col("turn") == 1)
+    days = rows.groupBy("manufacturer", "day").agg(found.alias("n"))
+    earlier = days.select("manufacturer", "day", (F.sum("n").over(Window.partitionBy("manufacturer").orderBy(F.asc_nulls_last("day"))) - F.col("n")).alias("earlier"))
+    upto = found.over(Window.partitionBy("manufacturer", "day").orderBy("at", "turn"))
+    marks = rows.withColumn("n", upto).filter("shortage is not null").alias("a").join(earlier.alias("b"), F.expr("a.manufacturer = b.manufacturer and a.day <=> b.day"))
+    return marks.groupBy("shortage").agg(F.sum((F.col("n") + F.col("earlier")) * F.col("sign")).alias("inspections")).filter("inspections > 0")
 
 
 @query(
