@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.cypher import asc, cases, desc, distinct_if, evidence_score, lookup
+from lattica.functions.cypher import asc, cases, desc, evidence_score, lookup
 from lattica.plans.binding import Graph
 from lattica.plans.registry import query
 
@@ -85,7 +85,9 @@ def adv_4(g: Graph) -> DataFrame:
     c = g.compound.select(F.col("id").alias("compound"), "approved")
     rel = F.col("rel")
     by = {"inhibitors": rel == "INHIBITS", "activators": rel == "ACTIVATES", "binders": rel == "BINDS_TO", "approved": F.col("approved")}
-    return g.acts_on.join(c, "compound").groupBy("target").agg(F.count_distinct("compound").alias("compounds"), *[distinct_if(k, F.col("compound")).alias(n) for n, k in by.items()])
+    # one row for each target and compound first, so that no row is multiplied by the number of counts
+    once = g.acts_on.join(c, "compound").groupBy("target", "compound").agg(*[F.max(k).alias(n) for n, k in by.items()])
+    return once.groupBy("target").agg(F.count("*").alias("compounds"), *[F.count_if(n).alias(n) for n in by])
 
 
 @query(
