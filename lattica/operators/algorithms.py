@@ -29,22 +29,29 @@ def degrees(nodes: DataFrame, edges: DataFrame, direction: str = "both") -> Data
 UNITS = 1e11
 
 
-def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, save_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """id, score after a fixed number of rounds from 1: score = (1 - d) + d * sum of score / out-degree over in-links.
 
     Parallel edges count once as in-links but each towards the out-degree; what flows into sinks is lost. What a link
-    carries is rounded to whole 1e-11, so sums don't depend on their order.
+    carries is rounded to whole 1e-11, so sums don't depend on their order. Once a round changes no score, all further ones
+    would give the same and are left out; that is after as many rounds as the longest path has steps, if there are no cycles.
     """
-    out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    links = saved(edges.select("src", "dst").distinct().join(out, "src"), "links")
-    nodes = saved(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "nodes")
-    scores, held = nodes.withColumn("score", F.lit(1.0)), None
-    for i in range(1, iterations + 1):
-        flow = links.join(scores.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg((F.sum(F.round(F.col("score") / F.col("out") * UNITS).cast("long")) / UNITS).alias("flow"))
-        scores = nodes.join(flow, "id", "left").select("id", ((1 - damping) + damping * F.coalesce("flow", F.lit(0.0))).alias("score"))
-        if i % save_every == 0 and i < iterations:
-            scores = held = saved(scores, "scores", held)
-    return scores
+    once, name = shortened(edges)
+    nodes = once.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    out = once.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"))
+    scores = saved(nodes.join(out, "id", "left").select("id", "out", F.lit(1.0).alias("score"), F.lit(True).alias("moved")), "scores")
+    # a node's links are one row, which is smaller to shuffle than a row each; a hub's are cut into pieces
+    piece = F.pmod(F.xxhash64("dst"), F.lit(256))
+    links = saved(once.distinct().groupBy("src", piece.alias("piece")).agg(F.collect_list("dst").alias("to")).select("src", "to"), "links", once)
+    for _ in range(iterations):
+        sent = scores.filter("out is not null").select(F.col("id").alias("src"), F.round(F.col("score") / F.col("out") * UNITS).cast("long").alias("part"))
+        flow = links.join(sent, "src").select(F.explode("to").alias("id"), "part").groupBy("id").agg((F.sum("part") / UNITS).alias("flow"))
+        new = (1 - damping) + damping * F.coalesce("flow", F.lit(0.0))
+        scores = saved(scores.join(flow, "id", "left").select("id", "out", new.alias("score"), (new != F.col("score")).alias("moved")), "scores", scores)
+        if scores.filter("moved").isEmpty():
+            break
+    dropped(links)
+    return scores.select(name(F.col("id")).alias("id"), "score")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
