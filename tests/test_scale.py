@@ -1,8 +1,16 @@
 """Steps that must give the same as a plain version by hand, however their rows are cut into blocks."""
 
+import datetime as dt
 import random
+from collections import Counter
+from types import SimpleNamespace
 
-from lattica.operators import algorithms
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lattica.operators import algorithms, codes, embeddings, learning
+from lattica.plans import catalogue, corpus
 
 
 def test_two_step_pairs(spark, monkeypatch):
@@ -16,3 +24,93 @@ def test_two_step_pairs(spark, monkeypatch):
     one, two = spark.createDataFrame(first, "src string, mid string"), spark.createDataFrame(second, "mid string, dst string")
     assert algorithms.two_step_pairs(one, two).collect() == [(len(pairs),)]
     assert algorithms.two_step_pairs(one, two.limit(0)).collect() == [(0,)]
+
+
+def test_numbers_sort_as_names_do(spark):
+    names = ["P:1", "P:10", "P:9", "P:100", "P:0", "P:007", "S:1", "SG:1", "SH:99", "T:999999999999", "W:24", "A:1", "Z:5", "ZZ:5"]
+    rows = spark.createDataFrame([(n,) for n in names], "id string").select("id", codes.number(F.col("id")).alias("n")).withColumn("back", codes.name(F.col("n"))).collect()
+    assert all(r.id == r.back for r in rows)
+    assert [r.id for r in sorted(rows, key=lambda r: r.n)] == sorted(names)
+    odd = spark.createDataFrame([("P:",), ("p:1",), ("ABC:1",), ("P:1\n",), ("P:1/2",), ("P:1234567890123",), (None,), ("",)], "id string")
+    assert odd.filter(codes.number(F.col("id")).isNotNull()).isEmpty()
+
+
+@pytest.mark.parametrize("kind", ["N:{}", "node {}"])
+def test_components_of_any_shape(spark, kind):
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(60)] + [(r.randrange(100, 160), r.randrange(100, 160)) for _ in range(35)] + [(200, 200), (300, 301), (301, 300), (301, 300)]
+    order = list(range(400))
+    r.shuffle(order)
+    edges = [(kind.format(order[a]), kind.format(order[b])) for a, b in edges]
+    top = {x: x for e in edges for x in e}
+    for _ in top:
+        for a, b in edges:
+            top[a] = top[b] = min(top[a], top[b])
+    found = algorithms.connected_components(spark.createDataFrame([*edges, (None, "x"), ("x", None)], "src string, dst string")).collect()
+    assert {x.id: x.component for x in found} == top and len(found) == len(top)
+
+
+@pytest.mark.parametrize("kind", ["N:{}", "node {}"])
+def test_label_propagation(spark, kind):
+    r = random.Random(4)
+    edges = [(kind.format(r.randrange(30)), kind.format(r.randrange(30))) for _ in range(50)] + [(kind.format(0), kind.format(i)) for i in range(25)]
+    around = {}
+    for a, b in edges:
+        if a != b:
+            around.setdefault(a, set()).add(b)
+            around.setdefault(b, set()).add(a)
+    label = {x: x for x in around}
+    for _ in range(4):
+        label = {x: min((-n, y) for y, n in Counter(label[y] for y in around[x]).items())[1] for x in around}
+    assert {x.id: x.label for x in algorithms.label_propagation(spark.createDataFrame(edges, "src string, dst string"), 4).collect()} == label
+
+
+def counted(monkeypatch, module):
+    """The names of the tables that a module writes from now on."""
+    names, real = [], module.saved
+    monkeypatch.setattr(module, "saved", lambda df, name, *more: names.append(name) or real(df, name, *more))
+    return names
+
+
+def test_pagerank_ends_when_nothing_moves(spark, monkeypatch):
+    edges = spark.createDataFrame([("T:1", "P:1"), ("T:2", "P:1"), ("P:1", "S:1"), ("P:1", "S:1"), ("S:1", "W:1")], "src string, dst string")
+    names = counted(monkeypatch, algorithms)
+    found = {r.id: r.score for r in algorithms.pagerank(edges, 20).collect()}
+    assert found == pytest.approx({"T:1": 0.15, "T:2": 0.15, "P:1": 0.405, "S:1": 0.322125, "W:1": 0.42380625})
+    assert names.count("scores") == 6  # the start, four rounds that move something and one that does not
+
+
+def test_similar_in_blocks(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.integers(-1, 2, 3)]) for i in range(300)]
+    v = spark.createDataFrame([*rows, (300, [0.0] * 3)], "id long, vector array<double>").repartition(3)
+    wanted = v.filter("id % 7 = 0").withColumnRenamed("id", "query")
+    unit = {i: np.array(x) / max(np.linalg.norm(x), 1e-300) for i, x in [*rows, (300, [0.0] * 3)]}
+    expected = {(q, i, s) for q in range(0, 301, 7) for s, i in sorted((-round(float(unit[q] @ unit[i]), 6), i) for i in unit if i != q)[:10]}
+    found = embeddings.similar(v, wanted, chunk=16, at_once=5)
+    assert {(x["query"], x["id"], -x["score"]) for x in found.collect()} == expected
+    assert embeddings.similar(v, wanted.limit(0)).count() == 0
+
+
+def test_features_are_worked_out_once(spark, monkeypatch):
+    names = counted(monkeypatch, learning)
+    nodes = spark.createDataFrame([(f"p{i}", "AB"[i % 2], "x" * (i % 2)) for i in range(40)], "id string, label string, name string")
+    found = learning.classified(learning.node_features(nodes, spark.createDataFrame([("p1", "p2")], "src string, dst string")), trees=2, depth=2)
+    assert found.count() == 40 and names == ["features"]
+
+
+def test_no_row_for_each_count(spark):
+    plan = catalogue.queries()["adv_4_target_landscape"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_overlapping_actions_by_hand(spark):
+    r = random.Random(5)
+    at = lambda: dt.datetime(2001, 1, 1) + dt.timedelta(hours=6 * r.randrange(40))
+    shortages = [(r.choice("abc"), f"s{i}", at(), r.choice([None, at()])) for i in range(60)] + [("a", "s0", at(), at()), (None, "n", at(), None), ("a", "x", None, None), ("z", "lone", at(), None)]
+    inspections = [(r.choice("abcd"), at()) for _ in range(90)] + [("a", None), (None, at())]
+    expected = Counter(s for m, s, start, end in shortages for m2, t in inspections if m and m == m2 and t and start and t >= start and (end is None or t <= end))
+    made = spark.createDataFrame(shortages, "manufacturer string, id string, start_date timestamp, end_date timestamp")
+    found = corpus.overlapping(SimpleNamespace(shortage=made, inspection=spark.createDataFrame(inspections, "manufacturer string, inspected timestamp")))
+    assert {x.shortage: x.inspections for x in found.collect()} == expected
+    assert "Window" in found._jdf.queryExecution().optimizedPlan().toString()  # and no pairs
