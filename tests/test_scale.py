@@ -114,3 +114,20 @@ def test_overlapping_actions_by_hand(spark):
     found = corpus.overlapping(SimpleNamespace(shortage=made, inspection=spark.createDataFrame(inspections, "manufacturer string, inspected timestamp")))
     assert {x.shortage: x.inspections for x in found.collect()} == expected
     assert "Window" in found._jdf.queryExecution().optimizedPlan().toString()  # and no pairs
+
+
+@pytest.mark.parametrize("kind", ["N:{}", "node {}"])
+def test_walks_at_hubs(spark, monkeypatch, kind):
+    r = random.Random(6)
+    rows = [(kind.format(0), kind.format(i)) for i in range(1, 60)] + [(kind.format(r.randrange(60, 90)), kind.format(r.choice([0, r.randrange(90)]))) for _ in range(60)]
+    edges = spark.createDataFrame([*rows, rows[0], (None, "x")], "src string, dst string")
+    names = counted(monkeypatch, embeddings)
+    plain = {x.walk: x.nodes for x in embeddings.walks(edges, length=6, per_node=8).collect()}
+    monkeypatch.setattr(embeddings, "LISTED", 4)
+    assert {x.walk: x.nodes for x in embeddings.walks(edges, length=6, per_node=8).collect()} == plain
+    nodes = {x for e in rows for x in e}
+    assert plain.keys() == {f"{n}#{k}" for n in nodes for k in range(1, 9)}
+    assert all((a, b) in set(rows) for w in plain.values() for a, b in zip(w, w[1:]))
+    sinks = nodes - {a for a, _ in rows}
+    assert all(len(w) == 6 or w[-1] in sinks for w in plain.values())
+    assert "walks" in names  # a table of each step, so that walks that ended are in no further join
