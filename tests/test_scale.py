@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import algorithms, codes, embeddings, learning
+from lattica.operators import algorithms, codes, embeddings, layout, learning
 from lattica.plans import catalogue, corpus
 
 
@@ -131,3 +131,41 @@ def test_walks_at_hubs(spark, monkeypatch, kind):
     sinks = nodes - {a for a, _ in rows}
     assert all(len(w) == 6 or w[-1] in sinks for w in plain.values())
     assert "walks" in names  # a table of each step, so that walks that ended are in no further join
+
+
+def plan_of(spark, name):
+    return catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_communities_use_lists_and_numbers(spark, monkeypatch):
+    names = counted(monkeypatch, algorithms)
+    edges = [(f"N:{10 * c + i}", f"N:{10 * c + j}") for c in (1, 2) for i in range(5) for j in range(i)] + [("N:10", "N:20"), ("N:10", "N:10")]
+    kept = algorithms.communities(spark.createDataFrame(edges, "src string, dst string"))
+    assert len({(r.id[2], r.community) for r in kept.collect()}) == 2 and "around" in names
+    other = algorithms.communities(spark.createDataFrame([(a + "x", b + "x") for a, b in edges], "src string, dst string"))
+    assert len({(r.id[2], r.community) for r in other.collect()}) == 2
+
+
+def test_study_details_are_parsed_once(spark):
+    assert "from_json" not in plan_of(spark, "ent_2_study_details")
+
+
+def test_keys_stand_for_arms(spark):
+    plan = plan_of(spark, "cl_q4_3_baseline_per_arm")
+    assert "concat(U:" not in plan and plan.count("concat(T:") == 1
+
+
+def test_forces_by_hand(spark):
+    r = random.Random(8)
+    edges = [("a", f"n{r.randrange(9)}", f"n{r.randrange(9)}") for _ in range(14)]
+    found = {x.id: (x.x, x.y) for x in layout.forces(spark.createDataFrame(edges, "picture string, src string, dst string"), "picture", rounds=5).collect()}
+    first = {x.id: (x.x, x.y) for x in layout.forces(spark.createDataFrame(edges, "picture string, src string, dst string"), "picture", rounds=0).collect()}
+    at = {k: np.array(v) for k, v in first.items()}
+    links = {(s, d) for _, s, d in edges}
+    for _ in range(5):
+        force = {k: sum(((at[k] - at[o]) / (far := np.hypot(*(at[k] - at[o])) + 0.1) * (100 / far**2) for o in at if o != k), np.zeros(2)) for k in at}
+        for s, d in links:
+            force[s] = force[s] + 0.1 * (at[d] - at[s])
+            force[d] = force[d] - 0.1 * (at[d] - at[s])
+        at = {k: at[k] + 0.9 * force[k] * min(1, 10 / max(np.hypot(*(0.9 * force[k])), 1e-9)) for k in at}
+    assert all(found[k] == pytest.approx(tuple(at[k]), abs=1e-6) for k in at)
