@@ -80,9 +80,18 @@ def forces(edges: DataFrame, picture: str, rounds: int = 100, repulsion: float =
         at = nodes[["x", "y"]].to_numpy().copy()
         a, b = (np.searchsorted(nodes["id"], links[c]) for c in ("src", "dst"))
         for _ in range(rounds):
-            apart = at[:, None] - at[None]
-            far = np.sqrt((apart**2).sum(2)) + 0.1
-            force = (apart / far[..., None] * (repulsion / far**2)[..., None]).sum(1)
+            # a table for each coordinate, changed in place; a column is what the others do to a node
+            apart = [c[None] - c[:, None] for c in np.ascontiguousarray(at.T)]
+            far = apart[0] * apart[0]
+            far += apart[1] * apart[1]
+            np.sqrt(far, out=far)
+            far += 0.1
+            push = repulsion / (far * far)
+            force = np.empty_like(at)
+            for k in (0, 1):
+                apart[k] /= far
+                apart[k] *= push
+                force[:, k] = apart[k].sum(0)
             pull = attraction * (at[b] - at[a])
             np.add.at(force, a, pull)
             np.add.at(force, b, -pull)
