@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.state import saved
 from lattica.plans.binding import Graph
 from lattica.plans.registry import query
 from lattica.sources import details, entities, pathway_maps, reports, results, web_pages
@@ -102,7 +103,8 @@ def _study_details(g: Graph) -> DataFrame:
 )
 def ent_2(g: Graph) -> DataFrame:
     """Who sponsors and leads trials, what they measure, and who may take part."""
-    return details.of_study_details(_study_details(g))[1].select("src", "dst", "rel")
+    # each kind of edge reads the records, which are parsed once
+    return details.of_study_details(saved(_study_details(g), "details"))[1].select("src", "dst", "rel")
 
 
 @query("ent_2_criteria", "SELECT concat('NCT', o_orderkey) AS trial_id, concat('adults|order ', o_orderkey) AS inclusion, 'none' AS exclusion FROM orders")
