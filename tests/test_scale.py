@@ -169,3 +169,7 @@ def test_forces_by_hand(spark):
             force[d] = force[d] - 0.1 * (at[d] - at[s])
         at = {k: at[k] + 0.9 * force[k] * min(1, 10 / max(np.hypot(*(0.9 * force[k])), 1e-9)) for k in at}
     assert all(found[k] == pytest.approx(tuple(at[k]), abs=1e-6) for k in at)
+
+
+def test_features_are_counted_by_keys(spark):
+    assert "concat(P:" not in plan_of(spark, "ml_2_features")
