@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,7 +139,11 @@ def ent_4(g: Graph) -> DataFrame:
         "array(named_struct('submission_type', 'ORIG', 'submission_number', '1', 'submission_status', 'AP', 'submission_status_date', date_format(o_orderdate, 'yyyyMMdd'))) AS submissions",
         "array(named_struct('product_number', '001', 'brand_name', 'B', 'dosage_form', 'TABLET', 'marketing_status', 'Prescription', 'active_ingredients', array(named_struct('name', concat('Drug ', o_orderkey % 200), 'strength', '1 mg')))) AS products",
     )
-    return triples(agencies.of_applications(raw.unionByName(raw))[1])
+    # partitions of some 200,000 records and 500,000 edges, which stay so as the table grows
+    records = g.orders.count()
+    twice = raw.unionByName(raw).repartition(math.ceil(2 * records / 200_000) or 1, "application_number")
+    edges = agencies.of_applications(twice)[1].select("src", "dst", "rel")
+    return edges.repartition(math.ceil(6 * records / 500_000) or 1, "src", "dst").distinct()
 
 
 @query(

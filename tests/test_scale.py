@@ -173,3 +173,7 @@ def test_forces_by_hand(spark):
 
 def test_features_are_counted_by_keys(spark):
     assert "concat(P:" not in plan_of(spark, "ml_2_features")
+
+
+def test_records_are_dealt_by_their_number(spark):
+    assert plan_of(spark, "ent_4_applications").count("RepartitionByExpression") >= 2
