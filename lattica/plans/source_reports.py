@@ -165,6 +165,8 @@ _TABLE = """concat('<table><tr><th>Document</th><th>Issue Date</th><th>Type</th>
 )
 def src_25_documents(g: Graph) -> DataFrame:
     """Documents that tables of web pages list."""
-    made = g.part.withColumn("p_mfgr_", F.concat(F.lit("kind "), F.col("p_size") % 4))
+    # a table of few bytes makes long pages, so its rows are dealt to all cores first
+    cores = g.spark.sparkContext.defaultParallelism
+    made = g.part.select("p_partkey", "p_name", "p_size").repartition(4 * cores, "p_partkey").withColumn("p_mfgr_", F.concat(F.lit("kind "), F.col("p_size") % 4))
     pages = made.select(F.col("p_partkey").alias("key"), F.lit("https://agency.example/lists/all?x=1").alias("url"), F.expr(_TABLE).alias("html"))
     return web_pages.listed_documents(pages, "key").select("key", "table", "row", "title", "url", "kind", "date")

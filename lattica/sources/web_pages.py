@@ -63,10 +63,10 @@ def listed_documents(pages: DataFrame, key: str, url: str = "url", html: str = "
     row has its address from its first link, and its title from the column, or the link if that is empty.
     """
     tables = F.regexp_extract_all(visible(F.col(html)), F.lit(r"(?is)<table\b[^>]*>(.*?)</table\s*>"), F.lit(1))
-    t = pages.select(key, F.col(url).alias("_base"), F.posexplode(tables).alias("table", "_t"))
+    t = pages.select(key, F.col(url).alias("_base"), F.posexplode_outer(tables).alias("table", "_t")).filter("_t is not null")
     rows = F.regexp_extract_all("_t", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr\s*>"), F.lit(1))
     heads = F.transform(F.regexp_extract_all(F.coalesce(F.get(rows, F.lit(0)), F.lit("")), F.lit(r"(?is)<th\b[^>]*>(.*?)</th\s*>"), F.lit(1)), lambda c: F.lower(F.coalesce(plain(c), F.lit(""))))
-    t = t.select(key, "_base", "table", heads.alias("_h"), F.posexplode(rows).alias("row", "_r"))
+    t = t.select(key, "_base", "table", heads.alias("_h"), F.posexplode_outer(rows).alias("row", "_r")).filter("_r is not null")
     cells = F.regexp_extract_all("_r", F.lit(r"(?is)<td\b[^>]*>(.*?)</td\s*>"), F.lit(1))
     t = t.withColumn("_c", cells).filter(F.size("_c") > 0)
 

@@ -177,3 +177,7 @@ def test_features_are_counted_by_keys(spark):
 
 def test_records_are_dealt_by_their_number(spark):
     assert plan_of(spark, "ent_4_applications").count("RepartitionByExpression") >= 2
+
+
+def test_pages_are_dealt_to_all_cores(spark):
+    assert "RepartitionByExpression" in plan_of(spark, "src_25_listed_documents")
