@@ -7,10 +7,11 @@ own scratch folder), so plans stay small and executors can be lost.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.operators.codes import shortened
@@ -186,43 +187,159 @@ def two_step_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.applyInPandas(count, "pairs long").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
 
 
+#: Sources whose paths are counted at once; links of a block on average, and so few that a block more isn't worth it; links in one row of a block.
+SOURCES_AT_ONCE, BLOCK_LINKS, LEAST_LINKS, PIECE_LINKS = 16, 4_000_000, 50_000, 1_000_000
+
+
+def _in_blocks(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (src, dst: long), each once and one way, as blocks for _told(): (block, nodes, a, b), and where nodes are: (node, blocks).
+
+    A link goes to the block of that end which has fewer links. So most nodes are in one block, hubs in many, and no node brings
+    more than about the square root of twice all links into its block: each of them leads to a node with no fewer links.
+    """
+    spark, n = links.sparkSession, links.count()
+    blocks = max(math.ceil(n / BLOCK_LINKS), min(spark.sparkContext.defaultParallelism, math.ceil(n / LEAST_LINKS)))
+    degree = saved(links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n")), "degrees")
+    s, d = degree.select(F.col("node").alias("src"), F.col("n").alias("m")), degree.select(F.col("node").alias("dst"), "n")
+    own = F.when(F.col("m") <= F.col("n"), F.col("src")).otherwise(F.col("dst"))
+    dealt = links.join(s, "src").join(d, "dst").select(F.pmod(F.xxhash64(own), F.lit(blocks)).cast("int").alias("block"), "src", "dst")
+    piece_links = PIECE_LINKS
+
+    def packed(own: pd.DataFrame) -> pd.DataFrame:
+        nodes, at = np.unique(own[["src", "dst"]].to_numpy(), return_inverse=True)
+        at = at.reshape(-1, 2).astype("int32")
+        pieces = [at[i : i + piece_links] for i in range(0, len(at), piece_links)]
+        return pd.DataFrame({"block": own["block"].iloc[0], "nodes": [nodes, *[nodes[:0]] * (len(pieces) - 1)], "a": [p[:, 0] for p in pieces], "b": [p[:, 1] for p in pieces]})
+
+    # several partitions for a block, as the hashes of so few numbers would often meet in one
+    grouped = dealt.repartition(4 * blocks, "block").groupBy("block")
+    held = saved(grouped.applyInPandas(packed, "block int, nodes array<bigint>, a array<int>, b array<int>"), "blocks")
+    held._lattica_blocks = blocks
+    at = held.select("block", F.explode("nodes").alias("node")).groupBy("node").agg(F.collect_list("block").alias("blocks"))
+    at = saved(at, "places")
+    dropped(degree)
+    return held, at
+
+
+def _told(blocks: DataFrame, at: DataFrame, rows: DataFrame) -> DataFrame:
+    """Each node's sums of its neighbours' numbers: rows (node, and numbers), at most one a node; nodes whose sums are all 0 may be left out.
+
+    blocks and at are as _in_blocks() gives them. A node's numbers go once to each block it is in, and one row of sums comes back.
+    """
+    names = [c for c in rows.columns if c != "node"]
+
+    def passed(own: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or sent.empty:
+            return pd.DataFrame({"node": pd.Series(dtype="int64")} | {c: pd.Series(dtype="float64") for c in names})
+        nodes = np.concatenate(own["nodes"].to_list())
+        place = np.searchsorted(nodes, sent["node"].to_numpy())
+        live = np.zeros(len(nodes), bool)
+        live[place] = True
+        numbers, sums = np.zeros((len(names), len(nodes))), np.zeros((len(names), len(nodes)))
+        for i, c in enumerate(names):
+            numbers[i, place] = sent[c].to_numpy()
+        for one, other in zip(own["a"], own["b"]):
+            for to, of in ((one, other), (other, one)):
+                keep = live[of]
+                t, o = to[keep], of[keep]
+                if len(t):
+                    least = int(t.min())
+                    for i in range(len(names)):
+                        some = np.bincount(t - least, numbers[i, o])
+                        sums[i, least : least + len(some)] += some
+        some = sums.any(axis=0)
+        return pd.DataFrame({"node": nodes[some]} | {c: sums[i, some] for i, c in enumerate(names)})
+
+    parts = 4 * blocks._lattica_blocks
+    sent = rows.join(at, "node").select(F.explode("blocks").alias("block"), "node", *names)
+    both = blocks.repartition(parts, "block").groupBy("block").cogroup(sent.repartition(parts, "block").groupBy("block"))
+    sums = both.applyInPandas(passed, "node bigint, " + ", ".join(f"{c} double" for c in names))
+    return sums.groupBy("node").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def betweenness(edges: DataFrame, sources: DataFrame, longest: int = 5) -> DataFrame:
     """id, score: over undirected shortest paths of up to so many steps from each source (id), the shares that lead over a node.
 
     Of the shortest paths between a source and a node, each gives its share to the nodes between. With all nodes as
-    sources every pair counts twice. Paths are counted level by level, and shares go back the same way; a level holds a row for each
-    source and node, so the sources are to be a bounded sample. Nodes that nothing leads over have no row.
+    sources every pair counts twice. Paths are counted level by level, and shares go back the same way, in blocks of links. A node
+    of a level is one row, with a column for each of SOURCES_AT_ONCE sources; more sources take several turns, so they are to be a
+    bounded sample. Nodes that nothing leads over have no row.
     """
-    links = saved(both_ways(edges), "links")
-    ends = links.select(F.col("src").alias("id")).distinct()
-    level = saved(sources.select("id").distinct().join(ends, "id", "left_semi").select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("ways")), "level")
-    levels = [level]
-    for _ in range(longest):
-        step = levels[-1].join(links.withColumnRenamed("src", "node"), "node").groupBy("source", F.col("dst").alias("node")).agg(F.sum("ways").alias("ways"))
-        # a neighbour of this level's nodes lies on it, on the one before, or is new
-        for known in levels[-2:]:
-            step = step.join(known.select("source", "node"), ["source", "node"], "left_anti")
-        level = saved(step, "level")
-        if level.isEmpty():
-            break
-        levels.append(level)
-    score, share = None, None
-    for far, near in zip(levels[:0:-1], levels[-2::-1]):
-        told = far.withColumn("share", F.lit(0.0)) if share is None else far.join(share, ["source", "node"], "left").fillna(0.0, ["share"])
-        back = told.join(links.withColumnRenamed("src", "node"), "node").select("source", F.col("dst").alias("node"), ((1 + F.col("share")) / F.col("ways")).alias("part"))
-        back = back.join(near, ["source", "node"]).groupBy("source", "node").agg((F.sum("part") * F.first("ways")).alias("share"))
-        share = saved(back, "share")
-        own = share.filter("source <> node").select("node", "share")
-        score = own if score is None else score.unionByName(own)
-    if score is None:
-        return ends.filter("false").withColumn("score", F.lit(0.0))
-    return score.groupBy(F.col("node").alias("id")).agg(F.sum("share").alias("score"))
+    once, name = shortened(edges)
+    return _betweenness(once, name, sources.select("id"), longest)
+
+
+def _betweenness(once: DataFrame, name: Callable[[Column], Column], sources: DataFrame, longest: int) -> DataFrame:
+    """betweenness() over edges as shortened() gives them; deletes their table."""
+    links = once.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    nothing = once.filter("false").select(name(F.col("src")).alias("id"), F.lit(0.0).alias("score"))
+    ranks = None
+    if dict(once.dtypes)["src"] != "bigint":
+        ids = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        ranks = saved(ranked(ids, ["id"]).select("id", F.col("rank").alias("node")), "ranks")
+        a, b = ranks.select(F.col("id").alias("src"), F.col("node").alias("s")), ranks.select(F.col("id").alias("dst"), F.col("node").alias("d"))
+        links = links.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
+    links = saved(links, "links")
+    if links.isEmpty():
+        return nothing
+    blocks, at = _in_blocks(links)
+    dropped(links)
+    known = ranks if ranks is not None else at.select(name(F.col("node")).alias("id"), "node")
+    starts = saved(ranked(known.join(sources.distinct(), "id", "left_semi").select("node"), ["node"], 8).select("node", "rank"), "sources")
+    n, nodes = starts.count(), at.count()
+    if not n:
+        return nothing
+    scores = []
+    for first in range(0, n, SOURCES_AT_ONCE):
+        ways = [f"w{i}" for i in range(min(SOURCES_AT_ONCE, n - first))]
+        own = starts.filter(F.col("rank").between(first, first + len(ways) - 1))
+        levels = [saved(own.select("node", *[(F.col("rank") == first + i).cast("double").alias(c) for i, c in enumerate(ways)]), "level")]
+        reached = len(ways)
+        while len(levels) <= longest and reached < nodes * len(ways):
+            step = _told(blocks, at, levels[-1])
+            # a neighbour of this level's nodes lies on it, on the one before, or is new
+            for before in levels[-2:]:
+                before = before.select("node", *[F.col(c).alias(f"_{c}") for c in ways])
+                step = step.join(before, "node", "left").select("node", *[F.when(F.col(f"_{c}") > 0, 0.0).otherwise(F.col(c)).alias(c) for c in ways])
+            level = saved(step.filter(F.greatest(*ways, F.lit(0.0)) > 0), "level")
+            new = sum(level.agg(*[F.count_if(F.col(c) > 0) for c in ways]).first())
+            if not new:
+                dropped(level)
+                break
+            levels.append(level)
+            reached += new
+        shares = []
+        for far, near in zip(levels[:1:-1], levels[-2:0:-1]):
+            if shares:
+                far = far.join(shares[-1], "node", "left")
+            share = [F.coalesce(F.col(f"_{c}"), F.lit(0.0)) if shares else F.lit(0.0) for c in ways]
+            back = _told(blocks, at, far.select("node", *[F.when(F.col(c) > 0, (1 + s) / F.col(c)).otherwise(0.0).alias(c) for c, s in zip(ways, share)]))
+            back = back.select("node", *[F.col(c).alias(f"_{c}") for c in ways])
+            share = near.join(back, "node").select("node", *[(F.col(c) * F.col(f"_{c}")).alias(f"_{c}") for c in ways])
+            shares.append(saved(share.filter(F.greatest(*[f"_{c}" for c in ways], F.lit(0.0)) > 0), "share"))
+        for share in shares:
+            scores.append(saved(share.select("node", sum(F.col(f"_{c}") for c in ways).alias("score")), "score", share))
+        for level in levels:
+            dropped(level)
+    dropped(blocks)
+    if not scores:
+        return nothing
+    score = scores[0]
+    for more in scores[1:]:
+        score = score.unionByName(more)
+    score = score.groupBy("node").agg(F.sum("score").alias("score"))
+    score = score.join(ranks, "node") if ranks is not None else score.withColumn("id", name(F.col("node")))
+    found = saved(score.select("id", "score"), "betweenness")
+    for table in [*scores, starts, at, once, *([ranks] if ranks is not None else [])]:
+        dropped(table)
+    return found
 
 
 def sampled_betweenness(edges: DataFrame, sample_size: int = 1000, longest: int = 5, seed: int = 42) -> DataFrame:
     """betweenness() from so many nodes, those whose ids hash lowest."""
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    return betweenness(edges, nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_size), longest)
+    once, name = shortened(edges)
+    nodes = once.select(F.explode(F.array("src", "dst")).alias("id")).distinct().select(name(F.col("id")).alias("id"))
+    return _betweenness(once, name, nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_size), longest)
 
 
 def _gains(around: DataFrame, own: DataFrame, total: float) -> DataFrame:

@@ -60,3 +60,28 @@ def test_states_are_deleted(spark):
     before = {d for d in os.listdir(base) if d.startswith("components-")}
     found = algorithms.connected_components(edges)
     assert len({d for d in os.listdir(base) if d.startswith("components-")} - before) == 1 and {r["component"] for r in found.collect()} == {"a0"}
+
+
+@pytest.mark.parametrize("kind", ["N:{}", "node {}"])
+def test_levels_are_a_row_a_node(spark, monkeypatch, kind):
+    for constant, n in {"SOURCES_AT_ONCE": 16, "BLOCK_LINKS": 60, "LEAST_LINKS": 20, "PIECE_LINKS": 7}.items():
+        monkeypatch.setattr(algorithms, constant, n, raising=False)
+    rows, kept = {}, algorithms.saved
+
+    def counted(df, name, *instead_of):
+        out = kept(df, name, *instead_of)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(algorithms, "saved", counted)
+    r = random.Random(7)
+    ends = [(f"{r.randrange(60)}", f"{60 + r.randrange(12)}") for _ in range(150)] + [(f"{60 + i}", "99") for i in range(12)] + [("99", "99"), ("60", "1"), ("200", "201")]
+    edges = [(kind.format(a), kind.format(b)) for a, b in ends]
+    nodes = {x for e in edges for x in e}
+    sources = sorted(nodes)[:20]
+    found = algorithms.betweenness(spark.createDataFrame(edges, EDGES), spark.createDataFrame([(s,) for s in sources], "id string"))
+    assert {r["id"]: pytest.approx(r["score"]) for r in found.collect()} == by_hand(edges, sources, 5)
+    # what a level holds goes with the nodes, not with nodes times sources
+    assert max(rows["level"] + rows["share"]) <= len(nodes)
+    assert max(rows.get("blocks", [0])) > 1
+    assert algorithms.betweenness(spark.createDataFrame(edges, EDGES), spark.createDataFrame([("nobody",)], "id string")).count() == 0
