@@ -3,6 +3,7 @@
 import random
 
 from lattica.operators import paths
+from lattica.plans import catalogue
 from lattica.plans.binding import Graph
 
 
@@ -41,3 +42,13 @@ def test_fronts_narrow_the_scans(spark):
     plan = paths.neighbours(link, spark.createDataFrame([("P:3",)], "node string"), True)._jdf.queryExecution().optimizedPlan().toString()
     first = plan[: plan.index("Relation")]
     assert "LeftSemi" in first and first.index("Aggregate") < first.index("LeftSemi")
+
+
+def test_paths_between_two_nodes_are_all_given(spark):
+    rows = [("a", f"m{i}", "R") for i in range(130)] + [(f"m{i}", "z", "S") for i in range(130)]
+    found = paths.paths_between(spark.createDataFrame(rows, "src string, dst string, rel string"), "a", "z", 2).collect()
+    assert [">".join(x.nodes) for x in found] == sorted(f"a>m{i}>z" for i in range(130))
+
+
+def test_all_paths_query_has_no_limit():
+    assert "LIMIT" not in catalogue.oracle_sql()["ga_8_all_paths"].upper()
