@@ -240,3 +240,20 @@ def test_components(spark):
             root[max(find(a), find(b))] = min(find(a), find(b))
     assert found == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_places_are_not_broadcast(spark, monkeypatch):
+    """In a large component each set has many places; they are made after the join, so a broadcast has one row a set."""
+    half = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(61)]
+    docs = spark.createDataFrame([(i, f"{half[i]} {half[i + 1]}") for i in range(60)], "doc_id long, text string")
+    plans, real = [], ngram_jaccard.written
+
+    def kept(df, name, *more):
+        if name == "links":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, name, *more)
+
+    monkeypatch.setattr(ngram_jaccard, "written", kept)
+    found = ngram_jaccard.jaccard_groups(docs, chunk_sets=4).collect()
+    assert len(plans) == 2 and all(p.index("Generate explode") < p.index("Join Inner") for p in plans)
+    assert sorted((x.doc_id, x.component_id) for x in found) == [(i, i) for i in range(60)]
