@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import algorithms, codes, embeddings, layout, learning
+from lattica.operators import algorithms, codes, embeddings, layout, learning, state
 from lattica.plans import catalogue, corpus
 
 
@@ -181,3 +181,22 @@ def test_records_are_dealt_by_their_number(spark):
 
 def test_pages_are_dealt_to_all_cores(spark):
     assert "RepartitionByExpression" in plan_of(spark, "src_25_listed_documents")
+
+
+def test_saved_leaves_no_shuffle_files(spark):
+    held = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before = held()
+    tables = [state.saved(spark.range(100).groupBy((F.col("id") % 7 + i).alias("k")).count(), "sums") for i in range(5)]
+    assert held() <= before and [t.count() for t in tables] == [7] * 5
+    assert spark.conf.get(state.CLEANUP) == "false"
+    for t in tables:
+        state.dropped(t)
+
+
+@pytest.mark.parametrize("name", ["label_propagation", "communities"])
+def test_rounds_deal_by_node_once(spark, monkeypatch, name):
+    plans, real = {}, algorithms.saved
+    monkeypatch.setattr(algorithms, "saved", lambda df, kind, *more: plans.setdefault(kind, df._jdf.queryExecution().optimizedPlan().toString()) and real(df, kind, *more))
+    edges = [(f"N:{10 * c + i}", f"N:{10 * c + j}") for c in (1, 2) for i in range(5) for j in range(i)]
+    getattr(algorithms, name)(spark.createDataFrame(edges, "src string, dst string")).collect()
+    assert "RepartitionByExpression [id" in plans["labels" if name == "label_propagation" else "moves"]
