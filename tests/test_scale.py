@@ -200,3 +200,11 @@ def test_rounds_deal_by_node_once(spark, monkeypatch, name):
     edges = [(f"N:{10 * c + i}", f"N:{10 * c + j}") for c in (1, 2) for i in range(5) for j in range(i)]
     getattr(algorithms, name)(spark.createDataFrame(edges, "src string, dst string")).collect()
     assert "RepartitionByExpression [id" in plans["labels" if name == "label_propagation" else "moves"]
+
+
+def test_walks_are_kept_without_names_that_they_hold(spark, monkeypatch):
+    columns, real = [], embeddings.saved
+    monkeypatch.setattr(embeddings, "saved", lambda df, name, *more: columns.append((name, df.columns)) or real(df, name, *more))
+    edges = spark.createDataFrame([("N:1", "N:2"), ("N:2", "N:3")], "src string, dst string")
+    assert sorted(x.nodes for x in embeddings.walks(edges, length=4, per_node=1).collect()) == [["N:1", "N:2", "N:3"], ["N:2", "N:3"], ["N:3"]]
+    assert {tuple(c) for name, c in columns if name == "walks"} == {("k", "nodes", "to", "part", "place")}
